@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import decontaminate, exact_dedup, html_extract, packing, simhash, substring_dedup, token_counts, url_filter
+from refrain.llm import decontaminate, exact_dedup, html_extract, labelled, packing, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,24 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def _scores(scored: DataFrame, score: str, held_out: Column, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), (F.col(score) >= threshold).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = labelled.fold(F.col("doc_id"), 3) == 1
+    model = toxicity.ToxicityModel(labelled.draw(docs, _table(spark, sf_dir, "labels"), "toxic", ~held_out))
+    return _scores(toxicity.score_toxicity(docs, model), "toxicity.score", held_out, 0.7)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = labelled.fold(F.col("doc_id"), 5) == 0
+    model = quality.QualityModel(labelled.draw(docs, _table(spark, sf_dir, "labels"), "quality", ~held_out))
+    return _scores(quality.score_quality(docs, model), "quality", held_out, 0.3)
+
+
 URL_RULES = tuple(
     url_filter.Rule.of(*x)
     for x in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -116,6 +134,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
