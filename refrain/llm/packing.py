@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE vocabularies of this kind cut texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Remembered words and word parts a worker holds at most.
-CACHE_ENTRIES = 600_000
+#: Remembered words, and as many word parts, a worker holds at most (some 200 bytes each).
+CACHE_ENTRIES = 250_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -179,6 +179,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
         found = pack_lengths([len(x) // 4 for x in ids], capacity, least_cut)
         doc, start, length, sequence, offset = (np.array(x, "int64") for x in zip(*found, strict=True))
         first = key[0].as_py() << 32
+        pa.default_memory_pool().release_unused()
         return pa.table([
             table.column("id").take(pa.array(doc)).combine_chunks(), start, length, np.array([len(x) // 4 for x in ids], "int64")[doc], sequence + first, offset,
             pa.array([ids[d][4 * s : 4 * (s + k)] for d, s, k, _, _ in found], pa.binary()),

@@ -39,8 +39,9 @@ _EDGES = (
 )
 BINS = max(map(len, _EDGES)) + 1
 _EDGE_TABLE = np.array(_EDGES)
-#: Lines whose chains run together.
-TOGETHER = 200_000
+#: Lines whose chains run together, and texts that a worker unpacks at once.
+TOGETHER = 50_000
+SLICE = 1_000
 
 
 def measures(text: str | None) -> tuple[list[tuple[float, ...]], list[int]]:
@@ -132,6 +133,7 @@ def score_quality(df: DataFrame, model: QualityModel, text: str = "text", out: s
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         for texts in batches:
-            yield pa.array(known.score(texts.to_pylist()), pa.float64())
+            parts = (texts.slice(k, SLICE).to_pylist() for k in range(0, len(texts), SLICE))
+            yield pa.array([s for part in parts for s in known.score(part).tolist()], pa.float64())
 
     return df.withColumn(out, scored(F.col(f"`{text}`")))

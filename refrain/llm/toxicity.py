@@ -29,8 +29,8 @@ from refrain.llm.labelled import Sample
 
 BUCKETS = 1 << 18
 #: Remembered word scores a worker holds at most, and tokens whose chains run together.
-CACHE_ENTRIES = 500_000
-TOGETHER = 1_500_000
+CACHE_ENTRIES = 400_000
+TOGETHER = 1_000_000
 #: Training chains are cut to this length; scoring never cuts.
 TRAINING_LENGTH = 400
 _TOKEN = re.compile(r"\S+")
