@@ -1,32 +1,5 @@
-"""Shared-storage helpers: where operators cut lineage so that lost executors cost little.
+"""Shared-storage helpers of the training-data operators: those of the library."""
 
-Everything goes to the folder the session names in ``spark.checkpoint.dir``, which all
-executors and the driver share. Only where it is unset (a local test session) a folder of
-our own is chosen.
-"""
+from refrain.sources.shared import materialize, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder of this session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:  # local sessions only: one machine, so its own folder is shared
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="refrain-checkpoint-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back without lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/refrain-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "shared_dir"]
