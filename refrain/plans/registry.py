@@ -1,11 +1,147 @@
-"""The library's queries over the driver's tables, and the SQL that checks each."""
+"""The library's queries over the driver's tables; the SQL that checks them is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from refrain.functions import bits, media
+from refrain.operators import intervals, match
+from refrain.plans.inputs import TEXT_PARAMS, benchmark_patterns, document_streams, event_ranges, table
+from refrain.plans.oracles import ORACLES
 
-ORACLES: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+#: Patterns and documents meet by width alone.
+WIDTH = ("bits",)
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _md5_item(column: str, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, digits), 16, -10).cast("long")
+
+
+@query
+def classify_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = F.array(*map(F.lit, ("mp3", "MKV", "txt", "m4b", "webm", "tar.gz", "ts")))
+    path = F.concat("source", F.lit("/ep "), "doc_id", F.lit("."), F.get(endings, (F.col("doc_id") % 7).cast("int")))
+    return table(spark, sf_dir, "documents").select(path.alias("path")).withColumn("kind", media.classify_ext(F.col("path")))
+
+
+@query
+def items_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _md5_item("o_orderkey", 8), _md5_item("o_custkey", 8)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), bits.differing_bits(a, b).alias("bits"), bits.items_match(a, b, 8).alias("matches"), bits.items_match(a, b, TEXT_PARAMS.scaled(64).max_bit_err).alias("loosely"))
+
+
+@query
+def key_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), bits.seed_key(_md5_item("o_orderkey", 8), 32).alias("key32"), bits.seed_key(_md5_item("o_orderkey", 16), 64).alias("key64"))
+
+
+@query
+def dhash_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", bits.dhash(F.col("embedding")).alias("hash"))
+
+
+@query
+def seed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.seed_index(document_streams(spark, sf_dir)).drop("bits")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    patterns, streams = benchmark_patterns(spark, sf_dir), document_streams(spark, sf_dir)
+    return match.candidate_offsets(match.votes(patterns, streams, TEXT_PARAMS, WIDTH), TEXT_PARAMS, WIDTH), patterns, streams
+
+
+@query
+def candidate_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir)[0].select("a", "b", "off", "votes", "lo", "hi", "turn")
+
+
+@query
+def coverage_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covers = match.coverage_at(*_candidates(spark, sf_dir), TEXT_PARAMS, WIDTH).filter(F.size("positions") > 0)
+    return covers.select("a", "b", "off", F.size("positions").alias("n"), F.element_at("positions", 1).alias("first"), F.element_at("positions", -1).alias("last"))
+
+
+@query
+def match_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match_cover(match.coverage_at(*_candidates(spark, sf_dir), TEXT_PARAMS, WIDTH), WIDTH).drop("bits")
+
+
+def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.alignments(benchmark_patterns(spark, sf_dir), document_streams(spark, sf_dir), TEXT_PARAMS, WIDTH)
+
+
+@query
+def best_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.best_ratio(_alignments(spark, sf_dir), WIDTH).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@query
+def locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.locate(_alignments(spark, sf_dir), TEXT_PARAMS, WIDTH).drop("bits")
+
+
+@query
+def locate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.locate_all(_alignments(spark, sf_dir), TEXT_PARAMS, WIDTH).drop("bits")
+
+
+@query
+def pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.pair_runs(document_streams(spark, sf_dir), TEXT_PARAMS).drop("bits")
+
+
+@query
+def recurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.recurrence_counts(match.pair_runs(document_streams(spark, sf_dir), TEXT_PARAMS)).drop("bits")
+
+
+@query
+def recurring_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.recurring_segments(document_streams(spark, sf_dir), TEXT_PARAMS).drop("bits")
+
+
+@query
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = event_ranges(spark, sf_dir).select("file", F.floor(F.col("start") / 3600).alias("pos")).distinct()
+    return intervals.runs(hours, ["file"], 4, 3, 0.5)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 3).alias(c) if c in ("start", "end", "saved") else c for c in df.columns))
+
+
+@query
+def merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(intervals.merge(event_ranges(spark, sf_dir).filter(F.col("end") > F.col("start")), ["file"]))
+
+
+@query
+def saved_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(intervals.saved_seconds(event_ranges(spark, sf_dir), ["file"]))
+
+
+@query
+def complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = event_ranges(spark, sf_dir)
+    whole = ranges.select("file").distinct().withColumn("duration", F.lit(2_000_000.0))
+    return _rounded(intervals.complement(ranges, whole, ["file"]))
+
+
+@query
+def slice_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begin = F.col("file") % 10
+    part = bits.slice_seconds(F.col("items"), F.lit(0.5), begin + 0.5, begin + 7.25)
+    return document_streams(spark, sf_dir).select("file", F.aggregate(part, F.expr("0L"), lambda t, x: t + x).alias("total"), F.size(part).cast("long").alias("n"))
+
+
+__all__ = ["ORACLES", "QUERIES"]
