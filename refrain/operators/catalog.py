@@ -189,14 +189,11 @@ def new_group(catalog: Catalog, clip_id: int, now: float, status: str = "pending
     return move_clips(made, moves, now), new_id
 
 
-def clip_exists(candidates: DataFrame, clips: DataFrame) -> Column:
-    """The condition that a clip of the same pattern and file starts within a second of a candidate."""
-    return (candidates["pattern_id"] == clips["pattern_id"]) & (candidates["file_path"] == clips["file_path"]) & (F.abs(candidates["start"] - clips["start"]) < SAME_START)
-
-
 def unknown_clips(candidates: DataFrame, clips: DataFrame) -> DataFrame:
-    """Candidates (pattern_id, file_path, start, ...) that no clip is at already."""
-    return candidates.join(clips, clip_exists(candidates, clips), "left_anti")
+    """Candidates (pattern_id, file_path, start, ...) without a clip of their pattern and file that starts within a second."""
+    there = clips.select(F.col("pattern_id").alias("_pattern"), F.col("file_path").alias("_path"), F.col("start").alias("_start"))
+    same = (F.col("pattern_id") == F.col("_pattern")) & (F.col("file_path") == F.col("_path"))
+    return candidates.join(there, same & (F.abs(F.col("start") - F.col("_start")) < SAME_START), "left_anti")
 
 
 def payload(patterns: DataFrame, clips: DataFrame) -> DataFrame:

@@ -232,9 +232,9 @@ def claim_occurrences(clips: DataFrame, occurrences: DataFrame) -> DataFrame:
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         path = pdf.file_path.iloc[0]
-        free = list(pdf[pdf.clip.isna()].sort_values("start")[["start", "end"]].itertuples(index=False, name=None))
+        free = list(pdf[pdf["clip"].isna()].sort_values("start")[["start", "end"]].itertuples(index=False, name=None))
         out = []
-        for c in pdf[pdf.clip.notna()].sort_values(["start", "clip"]).itertuples():
+        for c in pdf[pdf["clip"].notna()].sort_values(["start", "clip"]).itertuples():
             hit = next((o for o in free if min(c.end, o[1]) - max(c.start, o[0]) > 0), None)
             if hit:
                 free.remove(hit)

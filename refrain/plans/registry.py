@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.functions import bits, media
-from refrain.operators import intervals, match
-from refrain.plans.inputs import TEXT_PARAMS, benchmark_patterns, document_streams, event_ranges, table
+from refrain.operators import catalog, intervals, match, reconcile
+from refrain.plans import progress as progress_plan
+from refrain.plans import removal
+from refrain.plans.inputs import TEXT_PARAMS, benchmark_patterns, document_streams, event_patterns, event_ranges, table
 from refrain.plans.oracles import ORACLES
+from refrain.plans.params import DetectParams
+from refrain.sources.library import folders
+from refrain.sources.shared import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,4 +149,172 @@ def slice_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_streams(spark, sf_dir).select("file", F.aggregate(part, F.expr("0L"), lambda t, x: t + x).alias("total"), F.size(part).cast("long").alias("n"))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(document streams, their recurring segments as streams of their own)."""
+    docs = document_streams(spark, sf_dir)
+    found = match.recurring_segments(docs, TEXT_PARAMS).join(docs.select("folder", "bits", "file", "items", "item_sec"), ["folder", "bits", "file"])
+    cut = bits.slice_seconds(F.col("items"), F.col("item_sec"), F.col("start_sec"), F.col("end_sec"))
+    # a segment's number: its document's, and where in it
+    name = F.col("file") * 1_000_000 + F.col("start")
+    return docs, materialize(found.select("folder", "bits", name.alias("file"), name.alias("idx"), F.col("file").alias("doc"), "start", "start_sec", "end_sec", "item_sec", cut.alias("items"), (F.col("end_sec") - F.col("start_sec")).alias("duration")), "segments")
+
+
+@query
+def length_compatible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = _segments(spark, sf_dir)[1].select("folder", "doc", "start", "idx", "duration")
+    a, b = (segs.withColumnsRenamed({c: f"{c}_{x}" for c in ("doc", "start", "idx", "duration")}) for x in "ab")
+    pairs = a.join(b, "folder").filter((F.col("idx_a") < F.col("idx_b")) & reconcile.length_compatible(F.col("duration_b"), F.col("duration_a")))
+    return pairs.select("folder", F.col("doc_a").alias("file_a"), "start_a", F.col("doc_b").alias("file_b"), "start_b")
+
+
+@query
+def leader_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = _segments(spark, sf_dir)[1]
+    return reconcile.leader_edges(segs, segs, TEXT_PARAMS, self_match=True).select("folder", "a", "b", F.round("ratio", 6).alias("ratio"))
+
+
+@query
+def leader_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = _segments(spark, sf_dir)[1]
+    edges = reconcile.leader_edges(segs, segs, TEXT_PARAMS, self_match=True).select("folder", F.col("a").alias("segment"), F.col("b").alias("earlier"))
+    none = edges.select("folder", "segment", F.col("earlier").alias("pattern")).limit(0)
+    return reconcile.assign_leaders(segs.select("folder", F.col("file").alias("segment"), "idx"), none, edges)
+
+
+@query
+def known_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = match.locate_all(_alignments(spark, sf_dir), TEXT_PARAMS, WIDTH)
+    found = places.select(F.col("a").alias("pattern_id"), F.col("b").alias("file_path"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    found = materialize(found.filter(F.col("end") - F.col("start") >= reconcile.SHORTEST), "known")
+    stored = found.filter((F.col("pattern_id") + F.col("file_path")) % 2 == 0).select("pattern_id", "file_path", (F.col("start") + 0.5).alias("start"))
+    return catalog.unknown_clips(found, stored)
+
+
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_ranges(spark, sf_dir).select("id", "pattern_id", F.col("file").alias("file_path"), (F.col("start") / 3600).alias("start"), (F.col("end") / 3600).alias("end"))
+
+
+@query
+def clip_exists_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = _hours(spark, sf_dir).withColumn("pattern_id", F.col("pattern_id") % 5)
+    new = clips.filter(F.col("id") % 2 == 1)
+    return catalog.unknown_clips(new, clips.filter(F.col("id") % 2 == 0)).select("id", "pattern_id", "file_path")
+
+
+def _event_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_ranges(spark, sf_dir).withColumnRenamed("file", "file_path")
+
+
+@query
+def absorb_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = event_patterns(spark, sf_dir)
+    confirmed = patterns.filter(F.col("status") == "confirmed").select("id")
+    return reconcile.absorbed(patterns, _event_clips(spark, sf_dir), confirmed, 0.01)
+
+
+@query
+def dedupe_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.contained_clips(event_patterns(spark, sf_dir), _event_clips(spark, sf_dir), 60.0)
+
+
+@query
+def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each user that events of an hour's reach cover."""
+    e = event_ranges(spark, sf_dir)
+    day = F.floor(F.col("start") / 86400)
+    parts = e.select("file", day.alias("day"), F.col("start").alias("part_start"), (F.col("start") + 7200.0).alias("part_end"))
+    spans = e.select("file", day.alias("day")).distinct().select("file", "day", (F.col("day") * 86400.0 + 28800.0).alias("start"), (F.col("day") * 86400.0 + 43200.0).alias("end"))
+    return intervals.covered(spans, parts, ["file", "day"], 7200.0)
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
+    """The events' patterns and clips as a catalogue."""
+    empty = catalog.Catalog.empty(spark)
+    clips = _event_clips(spark, sf_dir).withColumns({"orig_start": F.col("start") - F.when(F.col("id") % 3 == 0, F.lit(1.0)).otherwise(F.lit(0.0)), "orig_end": F.col("end"), "preview": F.when(F.col("id") % 2 == 0, F.lit("p"))})
+    patterns = event_patterns(spark, sf_dir).withColumns({"duration": F.col("id") * 61.5, "bits": F.lit(32)})
+    return catalog.Catalog(catalog.migrated(patterns, "patterns"), catalog.migrated(clips.withColumn("file_name", F.concat(F.lit("u"), F.col("file_path").cast("string"))), "clips"), empty.processed, empty.fingerprints)
+
+
+@query
+def recount_shows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _catalog(spark, sf_dir)
+    some = catalog.delete_clips(found, found.clips.filter(F.col("pattern_id") % 10 == 3).select("id"))
+    return catalog.recount_shows(some).patterns.select("id", "status", "shows")
+
+
+@query
+def patterns_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog.payload(_catalog(spark, sf_dir).patterns, _catalog(spark, sf_dir).clips)
+    clip = found.select("id", "status", F.round("duration", 1).alias("duration"), F.posexplode("clips").alias("at", "clip"))
+    return clip.select("id", "status", "duration", "at", F.col("clip.id").alias("clip_id"), F.col("clip.edited").alias("edited"), F.col("clip.has_preview").alias("has_preview"))
+
+
+@query
+def export_markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalog.recount_shows(_catalog(spark, sf_dir))
+    saved = intervals.saved_seconds(event_ranges(spark, sf_dir), ["file"])
+    processed = saved.select(F.col("file").alias("id"), F.concat(F.lit("u"), F.col("file").cast("string")).alias("file_name"), F.array(F.struct(F.lit(0.0).alias("start"), F.col("saved").alias("end"))).alias("removed"), F.col("saved").alias("saved_sec"))
+    return catalog.export_markdown(found.patterns, found.clips, processed)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.when(F.col("file_path") % 5 == 0, "video").otherwise("audio")
+    users = event_ranges(spark, sf_dir).select(F.col("file").alias("file_path")).distinct()
+    return users.select(F.concat(F.lit("u"), F.col("file_path").cast("string"), F.lit("."), F.get(F.array(*map(F.lit, ("mp3", "flac", "wma", "opus"))), (F.col("file_path") % 4).cast("int"))).alias("name"), "file_path", kinds.alias("kind"), F.when(F.col("file_path") % 7 == 0, 0.0).otherwise(2_000_000.0).alias("duration"))
+
+
+@query
+def remove_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    clips = _event_clips(spark, sf_dir).join(files.select("file_path", "name"), "file_path").drop("file_path").withColumnRenamed("name", "file_path")
+    plan = removal.remove_plan(removal.confirmed_ranges(event_patterns(spark, sf_dir), clips), files.drop("file_path").withColumnRenamed("name", "file_path"))
+    kept = F.aggregate("keep", F.lit(0.0), lambda t, k: t + k["end"] - k["start"])
+    return plan.select("file_path", F.size("removed").alias("n_removed"), F.size("keep").alias("n_keep"), F.round(kept, 2).alias("kept_sec"), F.round("saved_sec", 2).alias("saved_sec"), "encoder", "out_ext", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def processed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).select(F.col("name").alias("file_name"), "kind")
+    return removal.trimmed_flags(files, files.filter(F.col("kind") == "video").select("file_name"))
+
+
+@query
+def folder_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folders(_files(spark, sf_dir).select(F.concat(F.lit("f"), (F.col("file_path") % 9).cast("string")).alias("folder"), "kind"))
+
+
+@query
+def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = F.array(*map(F.lit, ("fingerprint", "detect", "detect_progress", "matched", "normalize", "preview", "done")))
+    e = table(spark, sf_dir, "events").select("event_id", F.get(stages, (F.col("event_id") % 7).cast("int")).alias("stage"), F.col("event_type").alias("file"), (F.col("event_id") % 100).alias("index"), F.lit(128).alias("total"), (F.col("user_id") * 0.5).alias("elapsed"), (F.col("event_id") % 20).alias("previews"))
+    return progress_plan.enriched(e).select("event_id", "stage", F.coalesce("percent", F.lit(-1.0)).alias("percent"), F.coalesce("eta_seconds", F.lit(-1)).alias("eta_seconds"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> tuple[catalog.Catalog, DetectParams]:
+    """A catalogue of the documents' recurring segments, before lengths are normalised."""
+    docs, segs = _segments(spark, sf_dir)
+    prints = docs.select(F.col("file").cast("string").alias("file_path"), "folder", "bits", "item_sec", "items")
+    found = catalog.store_fingerprints(catalog.Catalog.empty(spark), prints, 0.0)
+    batch = segs.select("folder", "bits", F.col("doc").cast("string").alias("file"), "start_sec", "end_sec", F.col("doc").alias("idx"))
+    return reconcile.store_segments(found, batch, TEXT_PARAMS, "lib", 0.0).settled(), TEXT_PARAMS
+
+
+@query
+def store_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir)[0].patterns.select("id", "folder", "status", "duration", "shows")
+
+
+@query
+def normalize_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, params = _scanned(spark, sf_dir)
+    return reconcile.normalize_lengths(found, found.patterns.select("id"), params, 1.0).clips.select("id", "pattern_id", "file_path", "start", "end")
+
+
+@query
+def relocate_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, params = _scanned(spark, sf_dir)
+    clip = found.clips.agg(F.min("id")).first()[0]
+    return (found if clip is None else reconcile.relocate_group(found, clip, params, 1.0)).clips.select("id", "pattern_id", "file_path", "start", "end")
+
+
 __all__ = ["ORACLES", "QUERIES"]

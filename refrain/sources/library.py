@@ -43,19 +43,28 @@ def scan_library(spark: SparkSession, root: str, skip: Sequence[str] = ("_trimme
     Hidden entries of the root, hidden and output folders are skipped; hidden files within a
     folder are not. In order of folder and name, regardless of case.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.regexp_replace(F.col("path"), f"^.*?{_quoted(base)}/", "")
+    files = spark.createDataFrame(_listed(spark, root), "file_path string, relative string, length long")
+    relative = F.col("relative")
     parts = F.split(relative, "/")
     inner = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     hidden = F.exists(inner, lambda p: p.startswith(".") | p.isin(*skip)) | F.get(parts, 0).startswith(".")
     listed = files.withColumn("kind", classify_ext(relative)).filter(F.col("kind").isNotNull() & ~hidden)
-    named = listed.select(F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise(ROOT).alias("folder"), F.col("path").alias("file_path"), file_name(F.col("path")).alias("file_name"), "kind", F.col("length").alias("size"))
+    named = listed.select(F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise(ROOT).alias("folder"), "file_path", file_name(relative).alias("file_name"), "kind", F.col("length").alias("size"))
     return named.orderBy(F.lower("folder"), "folder", F.lower("file_name"), "file_path")
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def _listed(spark: SparkSession, root: str) -> list[tuple[str, str, int]]:
+    """(path, path within the root, bytes) by the file system's own listing: Spark's readers pass over hidden files."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/") + "/"
+    found, files = [], fs.listFiles(top, True)
+    while files.hasNext():
+        f = files.next()
+        path = f.getPath().toString()
+        found.append((path, path.removeprefix(base), f.getLen()))
+    return found
 
 
 def folders(files: DataFrame) -> DataFrame:
