@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE vocabularies of this kind cut texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Remembered words, and as many word parts, a worker holds at most (some 200 bytes each).
-CACHE_ENTRIES = 250_000
+#: Words that a worker remembers before the older half is forgotten, and as many word parts (some 200 bytes each).
+CACHE_ENTRIES = 150_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -51,6 +52,8 @@ class TokenIds(dict):
         self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None and spec["model"]["type"] == "BPE"
         self.model, self.find, self.alphabet = self.tokenizer.model, regex.compile(PATTERN).findall, byte_alphabet()
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -66,21 +69,28 @@ class TokenIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.cut(word if word[0] == "\n" else " " + word)
+        if len(self) >= CACHE_ENTRIES:  # words in use come back from the older half
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.cut(word if word[0] == "\n" else " " + word)
+        self[word] = ids
         return ids
 
     def cut(self, chunk: str) -> bytes:
-        parts, found = self.parts, []
+        found = []
         for p in self.find(chunk):
-            ids = parts.get(p)
+            ids = self.parts.get(p)
             if ids is None:
-                shown = p.encode().decode("latin-1").translate(self.alphabet)
-                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-                if len(parts) >= CACHE_ENTRIES:
-                    parts.clear()
-                parts[p] = ids
+                ids = self.older_parts.get(p)
+                if ids is None:
+                    shown = p.encode().decode("latin-1").translate(self.alphabet)
+                    tokens = [t.id for t in self.model.tokenize(shown)]
+                    ids = struct.pack(f"<{len(tokens)}I", *tokens)
+                if len(self.parts) >= CACHE_ENTRIES:
+                    self.older_parts, self.parts = self.parts, {}
+                self.parts[p] = ids
             found.append(ids)
         return b"".join(found)
 
