@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE vocabularies of this kind cut texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker remembers before the older half is forgotten, and as many word parts (some 200 bytes each).
-CACHE_ENTRIES = 150_000
+#: Words that a worker remembers before the older half is forgotten (some 200 bytes each).
+CACHE_ENTRIES = 200_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -34,32 +34,44 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in printable else next(spare)) for b in range(256)}
 
 
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """A byte-level vocabulary's tokens as bytes with their ids, if ids are in the order of the merges; else None."""
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    made = [vocab.get(m.replace(" ", "", 1) if isinstance(m, str) else m[0] + m[1]) for m in merges]
+    if None in made or any(x >= y for x, y in zip(made, made[1:], strict=False)):
+        return None
+    back = {c: b for b, c in byte_alphabet().items()}
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    return {bytes(back[c] for c in token): n for token, n in vocab.items() if token not in special}
+
+
 class TokenIds(dict):
     """Ids of the tokenizers library as little-endian uint32 bytes; as a dict: blank-separated word -> bytes.
 
-    Words are cut, looked up and remembered one by one; wherever word boundaries could matter
-    (unusual white space, special strings, another kind of tokenizer) the library gets the whole text.
+    Words are looked up one by one; a new word is merged by its byte ranks where the
+    vocabulary's ids are in the order of its merges, which gives the same ids at a fraction of
+    the time. Wherever word boundaries could matter (unusual white space, special strings,
+    another kind of tokenizer) the library gets the whole text.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
-        self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None and spec["model"]["type"] == "BPE"
-        self.model, self.find, self.alphabet = self.tokenizer.model, regex.compile(PATTERN).findall, byte_alphabet()
-        self.parts: dict[str, bytes] = {}
+        by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None and spec["model"]["type"] == "BPE"
+        ranks = byte_ranks(spec) if by_word else None
+        self.merge = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
         self.older: dict[str, bytes] = {}
-        self.older_parts: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         words = text.replace("\n", " \n").split(" ")
-        plain = self.by_word and "" not in words and "\n\n" not in text and not any(s in text for s in self.specials)
+        plain = self.merge is not None and "" not in words and "\n\n" not in text and not any(s in text for s in self.specials)
         if plain and sum(map(len, text.split())) == len(text) - text.count(" ") - text.count("\n"):
             first = words[0]
             words[0] = words[0] and "\n"  # any key; replaced below
@@ -79,20 +91,8 @@ class TokenIds(dict):
         return ids
 
     def cut(self, chunk: str) -> bytes:
-        found = []
-        for p in self.find(chunk):
-            ids = self.parts.get(p)
-            if ids is None:
-                ids = self.older_parts.get(p)
-                if ids is None:
-                    shown = p.encode().decode("latin-1").translate(self.alphabet)
-                    tokens = [t.id for t in self.model.tokenize(shown)]
-                    ids = struct.pack(f"<{len(tokens)}I", *tokens)
-                if len(self.parts) >= CACHE_ENTRIES:
-                    self.older_parts, self.parts = self.parts, {}
-                self.parts[p] = ids
-            found.append(ids)
-        return b"".join(found)
+        ids = self.merge(chunk)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class TournamentTree:
