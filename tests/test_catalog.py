@@ -13,6 +13,7 @@ from refrain.plans.params import DetectParams
 from refrain.plans.scan import scan, summary
 from refrain.sources import library
 from refrain.streaming.incremental import watch_fingerprints
+from test_core import plain_covered
 
 SEC = 0.1238
 P = DetectParams()
@@ -86,28 +87,9 @@ def test_absorb_pending(spark):
 
 
 def plain_dedupe(clips, tol):
-    """clips: (id, file, status, start, end). Largest first, each against the survivors."""
-    def is_covered(parts, s, e):
-        at = s
-        for a, b in sorted(parts):
-            if b <= at:
-                continue
-            if a > at + tol:
-                return False
-            at = max(at, b)
-            if at >= e - tol:
-                return True
-        return at >= e - tol
-
-    gone = set()
-    for key in {c[1:3] for c in clips}:
-        left = sorted((c for c in clips if c[1:3] == key), key=lambda c: c[3] - c[4])
-        for c in list(left):
-            smaller = [(o[3], o[4]) for o in left if o[0] != c[0] and o[4] - o[3] < c[4] - c[3] - 1e-6]
-            if is_covered(smaller, c[3], c[4]):
-                gone.add(c[0])
-                left = [o for o in left if o[0] != c[0]]
-    return gone
+    """Of (id, file, status, start, end), the ids that strictly shorter clips of the same file and status cover."""
+    same = lambda c, o: c[1:3] == o[1:3] and (o[4] - o[3]) - (c[4] - c[3]) < -1e-6
+    return {c[0] for c in clips if plain_covered([o[3:] for o in clips if same(c, o)], c[3], c[4], tol)}
 
 
 def test_dedupe_contained_matches_plain_python(spark):

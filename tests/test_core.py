@@ -1,6 +1,7 @@
 """Bits, intervals and the matcher, on small streams and against plain Python."""
 
 import random
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,20 +76,12 @@ def test_media_functions(spark):
 
 
 def plain_runs(cover, least, gap, density):
-    out, p = [], 0
-    while p < len(cover):
-        if cover[p]:
-            last, q = p, p + 1
-            while q < len(cover) and q - last - 1 <= gap:
-                last = q if cover[q] else last
-                q += 1
-            n = sum(cover[p : last + 1])
-            if last + 1 - p >= least and n / (last + 1 - p) >= density:
-                out.append((p, last + 1, n))
-            p = last + gap + 1 if last + gap + 1 > p else p + 1
-        else:
-            p += 1
-    return out
+    """Covered positions, broken wherever two neighbours have more than ``gap`` positions between them."""
+    at = [k for k, x in enumerate(cover) if x]
+    breaks = [0, *(k for k in range(1, len(at)) if at[k] - at[k - 1] > gap + 1), len(at)]
+    pieces = [at[i:j] for i, j in zip(breaks, breaks[1:], strict=False) if i < j]
+    found = [(x[0], x[-1] + 1, len(x)) for x in pieces]
+    return [(i, j, n) for i, j, n in found if j - i >= least and n >= density * (j - i)]
 
 
 def test_runs_match_plain_python(spark):
@@ -112,16 +105,15 @@ def test_merge_complement_saved(spark):
 
 
 def plain_covered(parts, s, e, tol):
-    at = s
-    for a, b in sorted(parts):
-        if b <= at:
-            continue
-        if a > at + tol:
-            return False
-        at = max(at, b)
-        if at >= e - tol:
-            return True
-    return at >= e - tol
+    """By order of start, which comes first: a part that reaches the goal, or one that leaves a hole before it."""
+    parts = sorted(parts)
+    reach = list(accumulate((end for _, end in parts), max, initial=s))
+    advancing = [k for k in range(len(parts)) if reach[k + 1] > reach[k]]
+    hole = next((k for k in advancing if parts[k][0] > reach[k] + tol), None)
+    goal = next((k for k in advancing if reach[k + 1] >= e - tol), None)
+    if hole is None and goal is None:
+        return s >= e - tol
+    return hole is None or (goal is not None and goal < hole)
 
 
 def test_covered_matches_plain_python(spark):
