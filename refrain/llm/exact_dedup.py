@@ -26,7 +26,10 @@ def _maybe_broadcast(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str | Column = "text", prefix_chars: int = 64, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """One row per row of ``df``: its columns, then keep_id, group_size, kept and _sha256 (null where never needed)."""
+    """One row per row of ``df``: its columns, then keep_id, group_size, kept and _sha256.
+
+    Where ``text`` is dropped, _sha256 is every row's; where it stays, null for rows whose key occurs once.
+    """
     body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     keyed = df.withColumns({"_len": F.octet_length(body), "_prefix": F.xxhash64(F.substring(body, 1, prefix_chars))})
     counts = keyed.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
@@ -38,7 +41,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str | Column = "te
         full = keyed.join(shared, ["_len", "_prefix"], "left").withColumn("_sha256", F.when(F.col("_shared"), digest))
     else:  # too many survivors to broadcast: hash before the shuffle, so that digests travel instead of texts
         narrow = keyed.withColumn("_sha256", digest).drop(*([text] if isinstance(text, str) else []))
-        full = narrow.join(shared, ["_len", "_prefix"], "left").withColumn("_sha256", F.when(F.col("_shared"), F.col("_sha256")))
+        full = narrow.join(shared, ["_len", "_prefix"], "left")  # a key that occurs once is in no group, whatever its digest
     key = F.col(f"`{id_col}`")
     groups = full.filter("_shared").groupBy("_len", "_prefix", "_sha256").agg(F.max(key).alias("_keep"), F.count(F.lit(1)).alias("_size"))
     groups, _ = _maybe_broadcast(materialize(groups.filter("_size > 1"), "dedup-group"), broadcast_keys)

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on small tables with nulls, empty and long texts, ties and repeats."""
 
+import functools
 import hashlib
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from refrain.llm import decontaminate, exact_dedup, html_extract, packing, simhash, substring_dedup, token_counts, url_filter
+from refrain.llm import decontaminate, exact_dedup, html_extract, packing, registry, simhash, substring_dedup, token_counts, url_filter
 
 SCHEMA = "doc_id long, text string, extra string, kept string"
 WORDS = "the of and to in is that it for as was with be by on are this from at or an idiot stone river".split()
@@ -60,6 +61,17 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_op4_gives_every_rows_digest(spark, tmp_path, monkeypatch, small):
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(exact_dedup, "exact_groups", functools.partial(exact_dedup.exact_groups, broadcast_keys=small))
+    rows = registry.op4_exact_dedup(spark, str(tmp_path)).collect()
+    owner = dict([*enumerate(texts()), (None, "no id")])
+    assert len(rows) == len(texts()) + 2
+    for r in rows:
+        assert r.text_sha256 == hashlib.sha256((owner[r.doc_id] or "").encode()).hexdigest(), r
+
+
 def plain_fingerprint(t):
     s = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", s)
