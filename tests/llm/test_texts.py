@@ -7,13 +7,14 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from refrain.llm import decontaminate, exact_dedup, html_extract, packing, registry, simhash, substring_dedup, token_counts, url_filter
+from refrain.llm import decontaminate, exact_dedup, html_extract, near_copies, packing, registry, simhash, substring_dedup, token_counts, url_filter
 
 SCHEMA = "doc_id long, text string, extra string, kept string"
 WORDS = "the of and to in is that it for as was with be by on are this from at or an idiot stone river".split()
@@ -138,6 +139,35 @@ def test_large_chain_of_near_copies_is_one_component(spark):
     assert {(r.node, r.root) for r in roots} == {(v, 0) for v in chain[1:]}
 
 
+def plain_shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_of_shingle_similarity(spark):
+    rng = random.Random(4)
+    rows = texts(5)
+    for k in range(12):  # copies of a base, each with some words changed: some above 0.8, some below
+        base = [f"w{rng.randrange(400)}" for _ in range(150)]
+        for n in (0, 1, 2, 3, 5, 9):
+            w = list(base)
+            for at in rng.sample(range(150), n):
+                w[at] = f"x{k}"
+            rows.append(" ".join(w))
+    sets = dict(enumerate(map(plain_shingles, rows)))
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    roots = components_of(sets, alike)
+    near = [r for r in corpus_pipeline.near_dedup_stage(spark, docs(spark, rows), "").collect() if r.text != "no id"]
+    assert sorted(r.doc_id for r in near) == sorted(set(roots.values()))
+
+
+def test_one_row_of_each_group_of_near_copies_stays_without_ids(spark):
+    long = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, long), (None, long + " end"), (7, long + " fin"), (7, "alone and else"), (None, "twice here"), (None, "twice here"), (None, None), (None, " ")]
+    got = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in got) == [(0, ""), (0, "twice here"), (7, "alone and else"), (7, long + " fin")]
+
+
 def plain_repeats(rows):
     seen, gone = {}, {}
     for k, t in rows:
