@@ -19,7 +19,8 @@ sends two, the others go to the second step directly, spread by their windows.
 
 Keys are 128 bits of hash. Defined results: a null text has no words; fewer words than a
 window repeat nothing; rows that repeat id and text are one document and share its result;
-a row without id counts as before all others.
+a row without id counts as before all others; rows that lack an id, or share one, with
+different texts are different documents, in the order of a hash of their texts.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ MANY_STRETCHES = 32
 CACHE_ENTRIES = 500_000
 _NO_ID = -(2**63)
 #: kind: 0 to be compared, 1 repeated, 2 for the second step.
-_ROW = pa.schema([("kind", pa.int8()), ("m", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("run", pa.int32())])
-ROW_TYPE = "kind tinyint, m long, h long, doc long, pos int, run int"
+_ROW = pa.schema([("kind", pa.int8()), ("m", pa.int64()), ("h", pa.int64()), ("doc", pa.int64()), ("salt", pa.int64()), ("pos", pa.int32()), ("run", pa.int32())])
+ROW_TYPE = "kind tinyint, m long, h long, doc long, salt long, pos int, run int"
 
 
 class _WordHashes(dict):
@@ -113,19 +114,19 @@ def _new(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def within_task(m: np.ndarray, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, many: int) -> np.ndarray:
+def within_task(m: np.ndarray, h: np.ndarray, doc: np.ndarray, salt: np.ndarray, pos: np.ndarray, many: int) -> np.ndarray:
     """Kinds of a batch's rows: 1 where the batch has an earlier equal, 2 for the surplus of an anchor with many stretches."""
     kind = np.zeros(len(m), np.int8)
     order = np.argsort(m, kind="stable")
     alone = _new(m[order])
     alone &= np.append(alone[1:], True)
     o = order[~alone]
-    o = o[np.lexsort((pos[o], doc[o], h[o], m[o]))]
+    o = o[np.lexsort((pos[o], salt[o], doc[o], h[o], m[o]))]
     new_m, new_h = _new(m[o]), _new(m[o], h[o])
     if not len(o):
         return kind
     head = np.maximum.accumulate(np.where(new_h, np.arange(len(o)), 0))
-    repeated = ~new_h & ((doc[o] != doc[o[head]]) | (pos[o] != pos[o[head]]))
+    repeated = ~new_h & ((doc[o] != doc[o[head]]) | (salt[o] != salt[o[head]]) | (pos[o] != pos[o[head]]))
     kind[o[repeated]] = 1
     group = np.cumsum(new_m) - 1
     rank = np.cumsum(new_h) - 1
@@ -135,26 +136,26 @@ def within_task(m: np.ndarray, h: np.ndarray, doc: np.ndarray, pos: np.ndarray,
     return kind
 
 
-def _merged(doc: np.ndarray, pos: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(doc: np.ndarray, salt: np.ndarray, pos: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Adjoining runs of a document as one."""
-    o = np.lexsort((pos, doc))
-    doc, pos, run = doc[o], pos[o], run[o]
+    o = np.lexsort((pos, salt, doc))
+    doc, salt, pos, run = doc[o], salt[o], pos[o], run[o]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + run[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (salt[1:] != salt[:-1]) | (pos[1:] > pos[:-1] + run[:-1])
     first = np.flatnonzero(new)
     if not len(first):
-        return doc, pos, run
+        return doc, salt, pos, run
     end = np.maximum.reduceat(pos + run, first)
-    return doc[first], pos[first], end - pos[first]
+    return doc[first], salt[first], pos[first], end - pos[first]
 
 
-def _batch(kind, m, h, doc, pos, run) -> pa.RecordBatch:  # noqa: ANN001
+def _batch(kind, m, h, doc, salt, pos, run) -> pa.RecordBatch:  # noqa: ANN001
     """Rows for the shuffle; repeated ones merged, rows that need no comparison without keys."""
     same = kind == 1
-    d1, p1, r1 = _merged(doc[same], pos[same], run[same])
+    d1, s1, p1, r1 = _merged(doc[same], salt[same], pos[same], run[same])
     rest = ~same
     zero = np.zeros(len(d1), np.int64)
-    cols = [np.concatenate(x) for x in ((np.ones(len(d1), np.int8), kind[rest]), (zero, m[rest]), (zero, h[rest]), (d1, doc[rest]), (p1, pos[rest]), (r1, run[rest]))]
+    cols = [np.concatenate(x) for x in ((np.ones(len(d1), np.int8), kind[rest]), (zero, m[rest]), (zero, h[rest]), (d1, doc[rest]), (s1, salt[rest]), (p1, pos[rest]), (r1, run[rest]))]
     return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, _ROW, strict=True)], schema=_ROW)
 
 
@@ -163,15 +164,15 @@ def _find_stretches(window: int, seed: int, many: int):  # noqa: ANN202
         known = _WordHashes()
         for batch in batches:
             parts = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, salt, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 w = (text.as_py() or "").encode().split()
                 if len(w) >= window:
                     hashes = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
                     m, h, pos, run = stretches(hashes, window, seed)
-                    parts.append((m, h, np.full(len(m), _NO_ID if doc is None else doc), pos, run))
+                    parts.append((m, h, np.full(len(m), doc), np.full(len(m), salt), pos, run))
             if parts:
-                m, h, doc, pos, run = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield _batch(within_task(m, h, doc, pos, many), m, h, doc, pos, run)
+                m, h, doc, salt, pos, run = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield _batch(within_task(m, h, doc, salt, pos, many), m, h, doc, salt, pos, run)
 
     return find
 
@@ -183,41 +184,42 @@ def _find_windows(window: int):  # noqa: ANN202
         known = _WordHashes()
         for batch in batches:
             parts = []
-            for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, salt, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 w = text.as_py().encode().split()
                 hashes = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
                 pos = np.unique(np.concatenate([np.arange(r["pos"], r["pos"] + r["run"]) for r in runs.as_py()]))
                 m, h = (_mixed(rolling(hashes, window, b)[pos]).view(np.int64) for b in _BASES)
-                parts.append((m, h, np.full(len(pos), _NO_ID if doc is None else doc), pos))
+                parts.append((m, h, np.full(len(pos), doc), np.full(len(pos), salt), pos))
             if parts:
-                m, h, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+                m, h, doc, salt, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
                 run = np.ones(len(m), np.int64)
-                yield _batch(within_task(m, h, doc, pos, len(m)), m, h, doc, pos, run)
+                yield _batch(within_task(m, h, doc, salt, pos, len(m)), m, h, doc, salt, pos, run)
 
     return find
 
 
 def _hold_against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by m, h, doc, pos: repeated rows (1), and rows of anchors with different stretches (2).
+    """Over rows sorted by m, h, doc, salt, pos: repeated rows (1), and rows of anchors with different stretches (2).
 
     State between batches is one row and the first row of the current anchor, whatever their number.
     """
-    last = first = None  # (m, h, doc, pos) of the current stretch's first row; (doc, pos, run) of an anchor's only stretch so far
+    last = first = None  # (m, h, doc, salt, pos) of the current stretch's first row; (doc, salt, pos, run) of an anchor's only stretch so far
     several = False
     for batch in batches:
-        kind, m, h, doc, pos, run = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        kind, m, h, doc, salt, pos, run = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
         through = kind != 0
-        out = [(kind[through], doc[through], pos[through], run[through])]
-        m, h, doc, pos, run = (x[~through] for x in (m, h, doc, pos, run))
+        out = [(kind[through], doc[through], salt[through], pos[through], run[through])]
+        m, h, doc, salt, pos, run = (x[~through] for x in (m, h, doc, salt, pos, run))
         if len(m):
             new_m, new_h = _new(m), _new(m, h)
             if last is not None and m[0] == last[0]:
                 new_m[0], new_h[0] = False, h[0] != last[1]
             head = np.maximum.accumulate(np.where(new_h, np.arange(len(m)), -1))
             head_doc = np.where(head >= 0, doc[head], last[2] if last else 0)
-            head_pos = np.where(head >= 0, pos[head], last[3] if last else 0)
-            repeated = ~new_h & ((doc != head_doc) | (pos != head_pos))
-            out.append((np.ones(int(repeated.sum()), np.int8), doc[repeated], pos[repeated], run[repeated]))
+            head_salt = np.where(head >= 0, salt[head], last[3] if last else 0)
+            head_pos = np.where(head >= 0, pos[head], last[4] if last else 0)
+            repeated = ~new_h & ((doc != head_doc) | (salt != head_salt) | (pos != head_pos))
+            out.append((np.ones(int(repeated.sum()), np.int8), doc[repeated], salt[repeated], pos[repeated], run[repeated]))
             group = np.cumsum(new_m)  # 0: continues the last batch's anchor
             n = np.bincount(group, weights=new_h, minlength=int(group[-1]) + 1)
             if n[0] and first is not None and not several:
@@ -225,41 +227,50 @@ def _hold_against_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             multiple = n >= 2
             multiple[0] = n[0] >= 1
             chosen = new_h & multiple[group]
-            out.append((np.full(int(chosen.sum()), 2, np.int8), doc[chosen], pos[chosen], run[chosen]))
+            out.append((np.full(int(chosen.sum()), 2, np.int8), doc[chosen], salt[chosen], pos[chosen], run[chosen]))
             at = int(head[-1])
             if at >= 0:
-                last = (m[at], h[at], doc[at], pos[at])
+                last = (m[at], h[at], doc[at], salt[at], pos[at])
             if group[-1] > 0:
                 k = int(np.flatnonzero(new_m)[-1])
-                first, several = (doc[k], pos[k], run[k]), bool(n[-1] >= 2)
+                first, several = (doc[k], salt[k], pos[k], run[k]), bool(n[-1] >= 2)
             else:
                 several = several or bool(n[0])
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int8(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["kind", "doc", "pos", "run"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["kind", "doc", "salt", "pos", "run"])
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
     """Rows spread by key (rows that need no comparison by document), sorted, and held against the first of each key."""
-    place = F.when(F.col("kind") == 0, F.col("m")).otherwise(F.xxhash64("doc", "pos"))
-    return rows.repartition(place).sortWithinPartitions("m", "h", "doc", "pos").mapInArrow(_hold_against_first, "kind tinyint, doc long, pos int, run int")
+    place = F.when(F.col("kind") == 0, F.col("m")).otherwise(F.xxhash64("doc", "salt", "pos"))
+    return rows.repartition(place).sortWithinPartitions("m", "h", "doc", "salt", "pos").mapInArrow(_hold_against_first, "kind tinyint, doc long, salt long, pos int, run int")
+
+
+def _identity(df: DataFrame, id_col: str, text: str) -> tuple[Column, Column]:
+    """(doc, salt) of a row: its id, and a hash of its text where the id alone doesn't tell (even; odd without id)."""
+    ident, digest = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    by_id = df.select(ident.alias("doc"), digest.alias("h")).filter("doc IS NOT NULL").groupBy("doc").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    shared = bool(by_id.filter("lo <> hi").limit(1).count())
+    even = digest.bitwiseAND(F.lit(-2)) if shared else F.lit(0).cast("long")
+    return F.coalesce(ident, F.lit(_NO_ID)), F.when(ident.isNull(), digest.bitwiseOR(F.lit(1).cast("long"))).otherwise(even)
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, seed: int = 8, many: int = MANY_STRETCHES) -> DataFrame:
-    """(doc, spans: array of pos, run): each document's runs of windows that also start earlier.
+    """(doc, salt, spans: array of pos, run): each document's runs of windows that also start earlier; see ``_identity``."""
+    doc, salt = _identity(df, id_col, text)
+    return _repeats(df.select(doc.alias("doc"), salt.alias("salt"), F.col(f"`{text}`").alias("text")), window, seed, many)
 
-    Ids are integers; a row without id has the smallest long for its doc.
-    """
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+
+def _repeats(docs: DataFrame, window: int, seed: int, many: int) -> DataFrame:
     found = _resolved(docs.mapInArrow(_find_stretches(window, seed, many), ROW_TYPE))
     found = materialize(found, "repeats")
     span = F.struct("pos", "run")
     # runs of one document; it has no more of them than windows
-    undecided = found.filter("kind = 2").groupBy("doc").agg(F.collect_list(span).alias("runs"))
-    undecided = undecided.withColumnRenamed("doc", "_doc")
-    texts = docs.join(undecided, F.coalesce("doc", F.lit(_NO_ID)) == F.col("_doc")).select("doc", "text", "runs")
-    singles = _resolved(texts.mapInArrow(_find_windows(window), ROW_TYPE)).filter("kind = 1").select("doc", "pos", "run")
-    both = found.filter("kind = 1").select("doc", "pos", "run").union(singles)
-    return both.groupBy("doc").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    undecided = found.filter("kind = 2").groupBy("doc", "salt").agg(F.collect_list(span).alias("runs"))
+    texts = docs.join(undecided, ["doc", "salt"]).select("doc", "salt", "text", "runs")
+    singles = _resolved(texts.mapInArrow(_find_windows(window), ROW_TYPE)).filter("kind = 1").select("doc", "salt", "pos", "run")
+    both = found.filter("kind = 1").select("doc", "salt", "pos", "run").union(singles)
+    return both.groupBy("doc", "salt").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def _kept(text: Column, spans: Column, window: int) -> Column:
@@ -287,6 +298,8 @@ def _kept(text: Column, spans: Column, window: int) -> Column:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, seed: int = 8, many: int = MANY_STRETCHES) -> DataFrame:
     """``df`` with n_words, n_removed and kept: its words without those of repeats, joined by one blank."""
-    spans = repeats(df, id_col, text, window, seed, many).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
-    joined = df.join(spans, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)) == F.col("_doc"), "left")
-    return joined.withColumn("_kept", _kept(F.col(f"`{text}`"), F.col("_spans"), window)).withColumns({c: F.col(f"_kept.{c}") for c in ("n_words", "n_removed", "kept")}).drop("_doc", "_spans", "_kept")
+    doc, salt = _identity(df, id_col, text)
+    spans = _repeats(df.select(doc.alias("doc"), salt.alias("salt"), F.col(f"`{text}`").alias("text")), window, seed, many)
+    spans = spans.select(F.col("doc").alias("_doc"), F.col("salt").alias("_salt"), F.col("spans").alias("_spans"))
+    joined = df.withColumns({"_at": doc, "_of": salt}).join(spans, (F.col("_at") == F.col("_doc")) & (F.col("_of") == F.col("_salt")), "left")
+    return joined.withColumn("_kept", _kept(F.col(f"`{text}`"), F.col("_spans"), window)).withColumns({c: F.col(f"_kept.{c}") for c in ("n_words", "n_removed", "kept")}).drop("_at", "_of", "_doc", "_salt", "_spans", "_kept")

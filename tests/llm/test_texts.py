@@ -198,6 +198,28 @@ def test_substring_dedup(spark, many):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("many", [1, 32])
+def test_substring_dedup_of_rows_without_or_with_shared_ids(spark, many):
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(None, passage + " " + " ".join(f"a{k}" for k in range(50))), (None, passage + " tail"), (None, "short"), (None, None), (None, " ".join(f"b{k}" for k in range(90)))]
+    rows += [(7, "head " + passage[: passage.index(" p25")] + " x7"), (7, " ".join(f"c{k}" for k in range(60))), (9, passage)]
+    rows += [(9, "y " + " ".join(f"p{k}" for k in range(10, 35)) + " z")]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), many=many).collect()
+    assert len(found) == len(rows)
+    from xxhash import xxh64_intdigest  # Spark's xxhash64 is XXH64 with seed 42
+
+    def place(row):
+        h = xxh64_intdigest((row[1] or "").encode(), 42)
+        h = h | 1 if row[0] is None else h & ~1
+        return (row[0] is not None, row[0] or 0, h - 2**64 if h >= 2**63 else h)
+
+    order = sorted(range(len(rows)), key=lambda k: place(rows[k]))
+    want = plain_repeats([(rank, rows[k][1]) for rank, k in enumerate(order)])
+    by_text = {(rows[k][0], rows[k][1]): want[rank] for rank, k in enumerate(order)}
+    for r in found:
+        assert (r.n_words, r.n_removed, r.kept) == by_text[r.doc_id, r.text], r
+
+
 def test_rolling_hash_sizes():
     x = np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64)
     for size in (1, 2, 3, 5, 8, 13, 20):
