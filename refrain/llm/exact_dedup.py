@@ -1,12 +1,19 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-Rows are first counted by byte length and prefix hash; a text can have an equal only where
-both agree, so the whole content is hashed for those rows alone. Groups are found by
-aggregation, which combines before it shuffles, so a group of any size is one row per task.
+1. Lengths and prefix hashes are read off once, as narrow rows. Rows are counted by length.
+2. Rows whose length occurs again are counted by length and prefix hash.
+3. Whole texts are hashed only where both occur again. Groups are found by aggregation, which
+   combines before it shuffles, so a group of any size is one row per task.
+
+The keys that occur again are handed on as bitmaps of a fixed size, so the plan is the same
+at every size of the table. A row that a bitmap lets through by chance is hashed for nothing.
 
 Defined results: a null text counts as the empty text; of equal texts the row with the
-largest id stays; rows that repeat id and text are one document and share its verdict; a
-null id is smaller than any other. An empty table gives an empty result.
+largest id stays, a null id being smaller than any other; an empty table gives an empty
+result. ``exact_groups`` speaks of ids: rows that repeat id and text share a verdict.
+``exact_dedup`` speaks of rows: exactly one row of a group stays, of rows that repeat the
+largest id the one with the largest hash of its columns. Other columns, whatever their
+names, don't matter and pass through ``exact_dedup`` untouched.
 """
 
 from __future__ import annotations
@@ -14,49 +21,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.storage import materialize
+from refrain.llm import bitmaps
+from refrain.sources.shared import materialize
+
+#: Bits of the bitmap of lengths: 128 KB.
+LENGTH_BITS = 1 << 20
+
+
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`"), F.lit(""))
+
 
-#: Keys (some 100 bytes each in memory) up to which a counted side is broadcast; beyond, it is joined by shuffle.
-BROADCAST_KEYS = 200_000
+def _keys(body: Column, prefix_chars: int) -> list[Column]:
+    return [F.octet_length(body).alias("_len"), F.xxhash64(F.substring(body, 1, prefix_chars)).alias("_prefix")]
 
 
-def _maybe_broadcast(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    small = df.count() <= most
-    return (F.broadcast(df) if small else df), small
+def _suspects(df: DataFrame, body: Column, prefix_chars: int, bits: int) -> DataFrame:
+    """Bitmap of the (length, prefix hash) pairs that occur more than once."""
+    keys = materialize(df.select(*_keys(body, prefix_chars)), "dedup-keys")
+    again = F.count(F.lit(1)) > 1
+    lengths = keys.groupBy("_len").agg(again.alias("_again")).filter("_again")
+    by_length = bitmaps.marks(lengths, F.xxhash64("_len"), LENGTH_BITS)
+    shared = bitmaps.flagged(keys, F.xxhash64("_len"), by_length, "_same", LENGTH_BITS).filter("_same")
+    pairs = shared.groupBy("_len", "_prefix").agg(again.alias("_again")).filter("_again")
+    return bitmaps.marks(pairs, F.xxhash64("_len", "_prefix"), bits)
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", prefix_chars: int = 64, all_digests: bool = False, bits: int = bitmaps.BITS) -> DataFrame:
+    """One row per row of ``df``: id, keep_id, group_size, kept and sha256 (binary).
+
+    sha256 is null for rows that can have no equal, unless ``all_digests`` asks for it. Texts
+    are read twice and never shuffled.
+    """
+    body = _body(text)
+    keyed = df.select(F.col(f"`{id_col}`").alias("id"), body.alias("_body"), *_keys(body, prefix_chars))
+    found = bitmaps.flagged(keyed, F.xxhash64("_len", "_prefix"), _suspects(df, body, prefix_chars, bits), "_suspect", bits)
+    digest = F.unhex(F.sha2("_body", 256))
+    prints = materialize(found.select("id", "_suspect", (digest if all_digests else F.when(F.col("_suspect"), digest)).alias("sha256")), "dedup-digests")
+    groups = prints.filter("_suspect").groupBy("sha256").agg(F.max("id").alias("_keep"), F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    groups = materialize(groups, "dedup-groups")
+    # rows that can have no equal are in no group, and don't take part in the join
+    alone = prints.filter("NOT _suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha256")
+    some = prints.filter("_suspect").join(groups, "sha256", "left").withColumn("keep_id", F.when(F.col("_size").isNull(), F.col("id")).otherwise(F.col("_keep")))
+    some = some.select("id", "keep_id", F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "sha256")
+    return alone.union(some).withColumnRenamed("id", id_col)
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str | Column = "text", prefix_chars: int = 64, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """One row per row of ``df``: its columns, then keep_id, group_size, kept and _sha256.
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", prefix_chars: int = 64, bits: int = bitmaps.BITS) -> DataFrame:
+    """The rows of ``df`` that stay, one of each group of equal texts, with its own columns only.
 
-    Where ``text`` is dropped, _sha256 is every row's; where it stays, null for rows whose key occurs once.
+    Rows that can have no equal stay where they are. Of the others the one to stay is found by
+    an aggregation, so a task sends one row of each of its groups.
     """
-    body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    keyed = df.withColumns({"_len": F.octet_length(body), "_prefix": F.xxhash64(F.substring(body, 1, prefix_chars))})
-    counts = keyed.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    # a length that occurs once has only prefixes that occur once: one table serves both levels
-    shared = materialize(counts.filter("_n > 1").select("_len", "_prefix"), "dedup-prefix").withColumn("_shared", F.lit(True))
-    shared, small = _maybe_broadcast(shared, broadcast_keys)
-    digest = F.sha2(body, 256)
-    if small:  # in the scan: whole contents of surviving rows only, and no text is shuffled
-        full = keyed.join(shared, ["_len", "_prefix"], "left").withColumn("_sha256", F.when(F.col("_shared"), digest))
-    else:  # too many survivors to broadcast: hash before the shuffle, so that digests travel instead of texts
-        narrow = keyed.withColumn("_sha256", digest).drop(*([text] if isinstance(text, str) else []))
-        full = narrow.join(shared, ["_len", "_prefix"], "left")  # a key that occurs once is in no group, whatever its digest
-    key = F.col(f"`{id_col}`")
-    groups = full.filter("_shared").groupBy("_len", "_prefix", "_sha256").agg(F.max(key).alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    groups, _ = _maybe_broadcast(materialize(groups.filter("_size > 1"), "dedup-group"), broadcast_keys)
-    found = full.join(groups, ["_len", "_prefix", "_sha256"], "left")
-    alone = F.col("_size").isNull()
-    return found.withColumns({
-        "keep_id": F.when(alone, key).otherwise(F.col("_keep")),
-        "group_size": F.coalesce(F.col("_size"), F.lit(1)).cast("long"),
-    }).withColumn("kept", key.eqNullSafe(F.col("keep_id"))).drop("_len", "_prefix", "_shared", "_keep", "_size")
-
-
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The rows of ``df`` that stay, with its own columns only."""
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
-    narrow = df.select(F.col(f"`{id_col}`").alias("_id"), body.alias("_text"), row)
-    groups = exact_groups(narrow, "_id", F.col("_text"), **options)
-    return groups.filter("kept").select("_row.*")
+    body = _body(text)
+    told = [F.col(f"`{c}`") for c, kind in df.dtypes if c != text and "map<" not in kind and kind != "variant"]
+    order = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.lit(1), *told).alias("tie"))
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), order.alias("_order"), body.alias("_body"), *_keys(body, prefix_chars))
+    found = bitmaps.flagged(keyed, F.xxhash64("_len", "_prefix"), _suspects(df, body, prefix_chars, bits), "_suspect", bits)
+    alone = found.filter("NOT _suspect").select("_row")
+    digest = F.unhex(F.sha2("_body", 256))
+    best = found.filter("_suspect").groupBy(digest.alias("sha256")).agg(F.max_by("_row", "_order").alias("_row"))
+    return alone.union(best.select("_row")).select("_row.*")

@@ -31,10 +31,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    groups = exact_dedup.exact_groups(docs)
-    sha = F.coalesce("_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)) if "text" in groups.columns else F.col("_sha256")
-    return groups.select("doc_id", "keep_id", "group_size", "kept", sha.alias("text_sha256"))
+    groups = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), all_digests=True)
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
 
 
 OP4_SQL = """

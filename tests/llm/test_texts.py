@@ -40,32 +40,67 @@ def collected(df):
     return df.collect()
 
 
-def test_exact_dedup(spark):
-    for small in (10_000, 0):  # broadcast, and the way beyond it
-        rows = exact_dedup.exact_groups(docs(spark).select("doc_id", "text"), broadcast_keys=small).collect()
-        assert len(rows) == len(texts()) + 2
-        want = {}
-        for k, t in enumerate(texts()):
-            want.setdefault(t or "", []).append(k)
-        size = Counter({k: len(v) for k, v in want.items()})
-        size[texts()[0]] += 1
-        owner = {k: t or "" for k, t in enumerate(texts())}
-        for r in rows:
-            if r.doc_id is None:
-                assert (r.keep_id, r.group_size, r.kept) == (None, 1, True)
-                continue
-            same = want[owner[r.doc_id]]
-            assert (r.keep_id, r.group_size, r.kept) == (max(same), size[owner[r.doc_id]], r.doc_id == max(same))
-    kept = exact_dedup.exact_dedup(docs(spark))
+def plain_groups(rows):
+    """(keep_id, group_size, kept) of each (id, text)."""
+    same = {}
+    for k, t in rows:
+        same.setdefault(t or "", []).append(k)
+    keep = {t: max((k for k in ks if k is not None), default=None) for t, ks in same.items()}
+    return [(keep[t or ""], len(same[t or ""]), k == keep[t or ""]) for k, t in rows]
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 15])
+def test_exact_groups(spark, bits):
+    df = docs(spark)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want = Counter((k, *v, hashlib.sha256((t or "").encode()).digest()) for (k, t), v in zip(rows, plain_groups(rows), strict=True))
+    found = exact_dedup.exact_groups(df, all_digests=True, bits=bits)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.sha256)) for r in found.collect()) == want
+    fewer = exact_dedup.exact_groups(df, bits=bits).collect()
+    assert all(r.sha256 for r in fewer if r.group_size > 1)
+    assert bits < 1 << 20 or sum(r.sha256 is None for r in fewer) > 20
+    assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
+
+
+def test_exact_dedup_keeps_one_row_of_each_group(spark):
+    df = docs(spark)
+    kept = exact_dedup.exact_dedup(df)
     assert kept.columns == ["doc_id", "text", "extra", "kept"]
-    assert len({r.text or "" for r in kept.collect()}) == len(set(owner.values())) + 1
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want = {t or "": v[0] for (_, t), v in zip(rows, plain_groups(rows), strict=True)}
+    assert sorted((r.text or "", r.doc_id or -1) for r in kept.collect()) == sorted((t, k or -1) for t, k in want.items())
+    odd = spark.createDataFrame([(1, "x", "a", 1), (1, "x", "b", 2), (None, "x", "c", 3), (None, "y", "d", 4), (None, "y", "d", 5), (None, None, "e", 6), (3, "", "f", 7)], "doc_id long, text string, _len string, _row int")
+    got = exact_dedup.exact_dedup(odd).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "y"), (1, "x"), (3, "")]
+    assert [r.asDict() for r in exact_dedup.exact_dedup(odd.repartition(3)).orderBy("_row").collect()] == [r.asDict() for r in sorted(got, key=lambda r: r._row)]
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_op4_gives_every_rows_digest(spark, tmp_path, monkeypatch, small):
+def shuffled(df):
+    """Column names of every exchange by hash or range in a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line], plan
+
+
+def test_exact_groups_shuffle_no_text(spark):
+    df = docs(spark).select("doc_id", F.concat("text", F.lit("")).alias("text"))
+    lines, plan = shuffled(exact_dedup.exact_groups(df, all_digests=True))
+    assert "text" not in plan and "_body" not in plan and not any("text" in x for x in lines)
+
+
+def test_bitmap_has_no_false_negatives(spark):
+    from refrain.llm import bitmaps
+
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h"))
+    marked = bitmaps.marks(keys, F.col("h"), 1 << 18)
+    found = bitmaps.flagged(spark.range(3000), F.xxhash64("id"), marked, "hit", 1 << 18).collect()
+    assert all(r.hit for r in found if r.id % 3 == 0) and sum(r.hit for r in found) < 1050
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 15])
+def test_op4_gives_every_rows_digest(spark, tmp_path, monkeypatch, bits):
     docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
-    monkeypatch.setattr(exact_dedup, "exact_groups", functools.partial(exact_dedup.exact_groups, broadcast_keys=small))
+    monkeypatch.setattr(exact_dedup, "exact_groups", functools.partial(exact_dedup.exact_groups, bits=bits))
     rows = registry.op4_exact_dedup(spark, str(tmp_path)).collect()
     owner = dict([*enumerate(texts()), (None, "no id")])
     assert len(rows) == len(texts()) + 2
