@@ -3,6 +3,9 @@
 Each step is a grouped minimum and a join; a hub's links are combined before the shuffle and
 its join partition may be split at run time. Every round is written to the shared folder, so
 a lost executor repeats one round at most. Rounds grow with the logarithm of the longest path.
+
+Defined results: links of a node with itself and repeated links say nothing; a link with a
+null end is dropped; an empty table has no components. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.storage import materialize
+from refrain.sources.shared import materialize
 
 
 def _state(links: DataFrame) -> tuple:

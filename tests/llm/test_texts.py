@@ -138,10 +138,46 @@ def test_simhash(spark):
     assert len(found) == len(prints) + 1
     for r in found:
         assert r.fingerprint % 2**64 == prints[r.doc_id] and r.component_id == roots[r.doc_id]
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    prints = {k: plain_fingerprint(t) for k, t in enumerate(texts())}
+    roots = components_of(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
     kept = simhash.near_dedup(docs(spark))
     assert kept.columns == ["doc_id", "text", "extra", "kept"]
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == set(roots.values())
-    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(k for k in ids if k is not None) == sorted(set(roots.values())) and ids.count(None) == 1
+    odd = spark.createDataFrame([(None, "some words", 1), (None, "some words", 2), (5, "other text", 3), (5, "other text", 4), (None, "other text", 5)], "doc_id long, text string, _dropped int")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.near_dedup(odd).collect()) == [(0, "some words"), (5, "other text")]
+    assert simhash.near_dedup(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_links_of_the_index_are_those_of_all_pairs(spark, bits):
+    rng = random.Random(bits)
+    values = {rng.getrandbits(64) for _ in range(40)}
+    for v in list(values)[:6]:  # groups in which fingerprints differ in few bits, short and long lists
+        for _ in range(rng.choice((4, 120))):
+            w = v
+            for _ in range(rng.randrange(1, 6)):
+                w ^= 1 << rng.randrange(64)
+            values.add(w)
+    values = sorted(v - 2**64 if v >= 2**63 else v for v in values)
+    from refrain.llm.components import components
+
+    want = components_of(values, lambda a, b: ((a ^ b) % 2**64).bit_count() <= bits)
+    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in values], "fingerprint long"), bits=bits)
+    assert {r.node: r.root for r in components(links).collect()} == {v: r for v, r in want.items() if v != r}
+
+
+def test_a_pair_needs_the_guaranteed_minimum_of_matches(spark):
+    """Two bits in two bytes: six bytes shared, six lists in common; three bytes: five and one."""
+    few = simhash.index(spark.createDataFrame([(0,), (1 | 1 << 9,), (1 | 1 << 9 | 1 << 18,)], "fp long"), 5)
+    assert few.count() == 3 * 56
+    met = few.withColumn("n", F.count(F.lit(1)).over(simhash.Window.partitionBy("bytes", "choice"))).filter("n > 1")
+    for least, want in ((1, {(512 + 1, 0), (512 + 1 + (1 << 18), 513), (512 + 1 + (1 << 18), 0)}), (6, {(513, 0), (512 + 1 + (1 << 18), 513)}), (7, {(512 + 1 + (1 << 18), 513)})):
+        assert {(r.a, r.b) for r in simhash._tallied(met, least, 64).collect()} == want
 
 
 @pytest.mark.parametrize("m", [2, 30, 300, 2000])
