@@ -9,9 +9,9 @@
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out at each step. Elements and roles that say so always go. The words of
-class and id only make a part suspect: it stays if it holds most of a page's text and that
-text is hardly linked, or if nothing would be left without it; reader comments stay only in
-the last case. Lists of links alone are menus, outside an article.
+class and id only make a part suspect: it stays if it holds nearly all of a page's text and
+that text is long and hardly linked, or if nothing would be left without it; adverts, notices
+and reader comments stay only in the last case. Lists of links alone are menus, outside an article.
 Character references are decoded, white space within a block becomes one blank, and blocks
 are joined by a line feed in page order; nothing else is dropped or cut.
 
@@ -55,22 +55,24 @@ _OPEN_PARTS = frozenset("li dt dd tr td th".split())
 #: Elements and roles that aren't running text, and the words that say so in a class or id.
 _BAD_TAGS = frozenset("nav footer aside form menu dialog search fieldset noscript template".split())
 _BAD_ROLES = frozenset("navigation contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-_COMMENT_WORDS = re.compile(r"comments?|commentlist|disqus|respond|responses?|repl(?:y|ies)|discussion")
+_SURE_WORDS = re.compile(
+    r"comments?|commentlist|disqus|respond|responses?|repl(?:y|ies)|discussion|ad|ads|adv|adverts?|advertisement|advertising|adsense|adbox|sponsor|sponsored|promoted"
+    r"|cookies?|consent|gdpr|notice|notices|notification|alert|disclaimer|popup|modal|overlay"
+)
 _BAD_WORDS = re.compile(
-    r"nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|rail|footer|foot|ad|ads|adv|adverts?|advertisement|advertising|adsense|adbox|banner|sponsor|sponsored|promo|promoted|promotion"
-    r"|cookies?|consent|gdpr|notice|notices|notification|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|trending|popular"
-    r"|widgets?|toolbar|pagination|pager|search|form"
+    r"nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|rail|footer|foot|banner|promo|promotion|newsletter|subscribe|subscription|signup|login|share|sharing|social"
+    r"|related|recommended|recommendations|trending|popular|widgets?|toolbar|pagination|pager|search|form"
 )
 _HEADER_WORDS = frozenset("header masthead topbar".split())
 #: Words that take the next, or the last, word's meaning away.
 _WITHOUT = frozenset("has with no without is".split())
 _FREE = frozenset("free less off".split())
 _GOOD_WORDS = frozenset("content article post entry main story body text".split())
-#: Share of a page's text that a suspect part must hold to stay, and the share of it that may be linked.
-MOST, LINKED = 0.5, 0.3
+#: Share of a page's text that a suspect part must hold to stay, its characters at least, and the share of it that may be linked.
+MOST, LONG, LINKED = 0.8, 400, 0.3
 
 #: How an element is suspect.
-_NOT, _PART, _COMMENTS = range(3)
+_NOT, _PART, _SURE = range(3)
 
 
 class Page:
@@ -201,8 +203,8 @@ class Page:
             return _NOT
         found = _NOT
         for w in _said(attrs):
-            if _COMMENT_WORDS.fullmatch(w):
-                return _COMMENTS
+            if _SURE_WORDS.fullmatch(w):
+                return _SURE
             if tag != "article" and _BAD_WORDS.fullmatch(w):
                 found = _PART
         return found
@@ -214,10 +216,10 @@ class Page:
         for _, text, n, _, part in self.blocks:
             size[part] += len(text)
             linked[part] += n
-        total = sum(n for n, kind in zip(size, self.suspects, strict=True) if kind != _COMMENTS)
-        stays = {0} | {k for k, kind in enumerate(self.suspects) if kind == _PART and size[k] > MOST * total and linked[k] < LINKED * size[k]}
-        if not any(size[k] for k in stays):  # nothing would be left: all parts but comments, or else all
-            stays = {k for k, kind in enumerate(self.suspects) if kind != _COMMENTS}
+        total = sum(n for n, kind in zip(size, self.suspects, strict=True) if kind != _SURE)
+        stays = {0} | {k for k, kind in enumerate(self.suspects) if kind == _PART and size[k] > max(LONG, MOST * total) and linked[k] < LINKED * size[k]}
+        if not any(size[k] for k in stays):  # nothing would be left: all parts that aren't sure to be something else, or else all
+            stays = {k for k, kind in enumerate(self.suspects) if kind != _SURE}
             if not any(size[k] for k in stays):
                 return
         self.blocks = [b for b in self.blocks if b[4] in stays]

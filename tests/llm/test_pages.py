@@ -27,6 +27,8 @@ LAYOUTS = {
     "related by id": '<article id="related-work">{a}</article><nav>Next</nav>',
     "class says free": '<div class="comment-free-story">{a}</div><div class="share-buttons"><a href=x>Share</a></div>',
     "suspect holds all": '<div class="widget">{a}</div>',
+    "title outside": '<div class="page"></div><div class="sidebar">Side.</div><div class="widget-text">{a}<p>And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on. And so it goes on.</p></div>',
+    "short article": '<div class="ad">Buy this thing, it is a very good thing to buy, and it is cheap.</div><article>{a}</article><div class="notice">This site, like any other, has something to say about cookies.</div>',
     "roles": f'<div role="banner"><p>Site</p></div><div role="main">{{a}}</div><div role="complementary">{SAYS}</div><div role="contentinfo">(c)</div>',
     "hidden": '<div>{a}</div><div hidden><p>Hidden words of some length that nobody sees.</p></div><div style="display: none"><p>Neither these.</p></div>',
     "scripts": '<script>if (a<b) document.write("<p>no</p>")</script><style>p{{}}</style><div>{a}<script>more("</div>")</script></div><noscript>Enable scripts.</noscript>',
@@ -69,9 +71,15 @@ def test_articles_of_known_text(name):
         if name not in ("article", "main with aside", "comments", "related by id", "unclosed", "upper case"):
             while "<ul>" in marked:  # a list of links alone is a menu, outside an article
                 marked, plain = article(rng)
+        if name == "title outside":
+            plain += "\n" + " ".join(["And so it goes on."] * 15)
         assert Page(LAYOUTS[name].replace("{{", "{").replace("}}", "}").replace("{a}", marked)).text(None) == plain
 
 
+def test_short_article_beside_a_longer_advert():
+    assert Page('<div class="ad">Buy this thing, it is a very good thing to buy.</div><article><h1>Title</h1><p>Short.</p></article>').text(None) == "Title\nShort."
+
+
 def test_winning_paths_are_those_of_plain_counting(spark):
     rng = random.Random(3)
     rows = []
