@@ -1,13 +1,20 @@
 """Sequence packing: first-fit decreasing over a tournament tree, in randomised groups of documents.
 
-Documents are dealt to groups by a hash of their id. Within a group each document's ids are
+Documents are dealt to groups by a hash of id and text. Within a group each document's ids are
 cut into whole sequences and a remainder; remainders go, largest first, into the first
 sequence that has room, which a tournament tree of free capacities finds in O(log n).
 Sequences that stay emptiest are then cut up to fill the gaps of the others.
 
+A group is read as a sorted stream, and packed in lots of at most ``group_docs`` documents
+and ``group_bytes`` bytes of text (or a single longer document), so a task's memory has a bound
+whatever falls into one group.
+
 Defined results: a null text is empty; every document ends with id ``end_id``, so even an
-empty one is a piece of one id; repeated rows are packed once each. An empty table gives an
-empty result. Only the id and text columns are read, whatever else the table holds.
+empty one is a piece of one id; repeated rows are packed once each; remainders of equal size
+go in the order of id (null first) and text, so the same rows are packed alike however they
+arrive. Rows without id are dealt by where they stand in the input, as any number of them
+must spread; only there the packing depends on it. An empty table gives an empty result. Only
+the id and text columns are read, whatever else the table holds.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import json
 import math
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +144,7 @@ def pack_lengths(lengths: list[int], capacity: int, least_cut: int = 1) -> list[
     out = [(d, s, k, q, 0) for q, (d, s, k) in enumerate(pieces)]
     if not rest:
         return out
-    rest.sort(key=lambda x: -x[2])
+    rest.sort(key=lambda x: -x[2])  # stable: of equals the earlier document first
     tree = TournamentTree(len(rest), capacity)
     bins: dict[int, list[tuple[int, int, int]]] = {}
     for x in rest:
@@ -169,7 +177,9 @@ def pack_lengths(lengths: list[int], capacity: int, least_cut: int = 1) -> list[
     return out
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 0, group_docs: int = 2048, least_cut: int = 1) -> DataFrame:
+def pack(
+    df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 0, group_docs: int = 2048, least_cut: int = 1, group_bytes: int = 16_000_000
+) -> DataFrame:
     """Pieces of sequences: id_col, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32).
 
     One shuffle brings a group's texts together; they are tokenised there, so that ids never
@@ -178,24 +188,45 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str =
     """
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     groups = max(1, math.ceil(docs.count() / group_docs))
-    dealt = docs.withColumn("_group", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)))
+    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    keyed = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_group", F.pmod(F.xxhash64(F.lit(1), "id", "_tie", place), F.lit(groups)))
     kind = docs.schema["id"].dataType.simpleString()
     names = ("id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
 
-    def packed(key: tuple, table: pa.Table) -> pa.Table:
+    def packed(rows: list[tuple[pa.Scalar, bytes]], group: int, used: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of a lot, and how many sequences of its group are used up after it."""
+        lengths = np.array([len(x) // 4 for _, x in rows], "int64")
+        found = pack_lengths(lengths.tolist(), capacity, least_cut)
+        doc, start, length, sequence, offset = (np.array(x, "int64") for x in zip(*found, strict=True))
+        batch = pa.RecordBatch.from_arrays([
+            pa.array([k.as_py() for k, _ in rows], rows[0][0].type).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(lengths[doc]), pa.array(sequence + (group << 32) + used), pa.array(offset),
+            pa.array([rows[d][1][4 * s : 4 * (s + k)] for d, s, k, _, _ in found], pa.binary()),
+        ], names=list(names))
+        return batch, used + int(sequence.max()) + 1
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
         end = int(end_id).to_bytes(4, "little")
-        ids = [encoder.encode(t.as_py()) + end for t in table.column("text")]
-        found = pack_lengths([len(x) // 4 for x in ids], capacity, least_cut)
-        doc, start, length, sequence, offset = (np.array(x, "int64") for x in zip(*found, strict=True))
-        first = key[0].as_py() << 32
+        lot: list[tuple[pa.Scalar, bytes]] = []
+        size = used = 0
+        current = -1
+        for batch in batches:
+            for ident, body, group in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                t = body.as_py()
+                if lot and (group != current or len(lot) >= 2 * group_docs or size + len(t) > group_bytes):
+                    out, used = packed(lot, current, used)
+                    yield out
+                    lot, size = [], 0
+                if group != current:
+                    current, used = group, 0
+                lot.append((ident, encoder.encode(t) + end))
+                size += len(t)
+        if lot:
+            yield packed(lot, current, used)[0]
         pa.default_memory_pool().release_unused()
-        return pa.table([
-            table.column("id").take(pa.array(doc)).combine_chunks(), start, length, np.array([len(x) // 4 for x in ids], "int64")[doc], sequence + first, offset,
-            pa.array([ids[d][4 * s : 4 * (s + k)] for d, s, k, _, _ in found], pa.binary()),
-        ], names=list(names))
 
-    out = dealt.groupBy("_group").applyInArrow(packed, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    dealt = keyed.repartition("_group").sortWithinPartitions("_group", "id", "_tie").select("id", "text", "_group")
+    out = dealt.mapInArrow(stream, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -354,6 +354,30 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_is_the_same_however_rows_arrive(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = docs(spark).filter("doc_id IS NOT NULL")
+
+    def packed(df, **options):
+        return sorted((p.doc_id, p.start, p.length, p.sequence_id, p.offset, bytes(p.ids)) for p in packing.pack(df, path, **options).collect())
+
+    for options in ({}, {"group_docs": 9}, {"group_bytes": 2000}):
+        want = packed(df, **options)
+        assert want == packed(df.repartition(7, "text"), **options) == packed(df.orderBy(F.desc("text")).coalesce(1), **options)
+
+
+def test_rows_without_id_spread_over_groups_and_lots_are_bounded(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    pieces = packing.pack(rows, path, group_docs=10).collect()
+    assert sum(p.length for p in pieces) == 400 * pieces[0].doc_tokens
+    by = Counter(p.sequence_id >> 32 for p in pieces)
+    assert len(by) > 30 and max(by.values()) < 40
+    long = spark.createDataFrame([(1, "word " * 400), (2, "word " * 400), (3, "word " * 400)], "doc_id long, text string")
+    pieces = packing.pack(long, path, group_bytes=1000).collect()
+    assert len({p.sequence_id for p in pieces}) == 3 and {p.sequence_id >> 32 for p in pieces} == {0}
+
+
 def test_first_fit_decreasing_takes_the_first_bin_with_room():
     rng = random.Random(1)
     tree, free = packing.TournamentTree(50, 100), [100] * 50
