@@ -2,12 +2,20 @@
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and any character
 beyond ASCII. A window is ``n`` consecutive words of an item, or the whole item where it
-has fewer. Document windows are looked up in the set; the set holds the windows' own bytes,
-so a hit is verified by equality and not by hash.
+has fewer. The set is a sorted array of the windows' 64-bit hashes, with where each window
+stands in the benchmark: some 20 bytes a window. Document windows are looked up in it, and a
+hit is verified by the words themselves.
+
+The benchmark's size is measured before anything of it is collected. Beyond ``block_bytes``
+it is taken in blocks: documents are numbered and stored once, every block is a scan of them
+that returns hits only, and the hits are brought together by number.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item
-has no window; an item without id is named by the empty string; rows with the same id are
-one item. Repeated documents are judged alike; an empty benchmark hits nothing.
+has no window; an item without id is named by the empty string, and rows with the same id
+(or none) are one item. Repeated documents are judged alike; an empty benchmark hits nothing,
+an empty table gives an empty result. Columns of documents named like an output are replaced
+by ``find_contamination``; ``decontaminate`` returns the documents' own columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,14 +25,15 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refrain.llm.storage import materialize
+from refrain.sources.shared import materialize
 
-#: Bytes of benchmark text that one broadcast set is built from; a larger benchmark goes in blocks.
-BLOCK_BYTES = 16_000_000
+#: Bytes of benchmark text that one broadcast set is built from (some 100 MB in a worker at most); a larger benchmark goes in blocks.
+BLOCK_BYTES = 8_000_000
 
 #: Lower-cases A-Z, keeps a-z, 0-9 and bytes from 0x80 on, blanks the rest.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -42,10 +51,12 @@ class WindowSet:
     """The items' windows, ready to be looked up."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int) -> None:
+        from xxhash import xxh3_64_intdigest
+
         self.items: list[str] = []
-        self.windows: dict[bytes, list[int]] = defaultdict(list)
         self.vocabulary: set[bytes] = set()
-        lengths = set()
+        bodies, hashes, places, owners, sizes = [], [], [], [], []
+        lengths, at = set(), 0
         for name, text in items:
             w = words(text)
             if not w:
@@ -53,16 +64,43 @@ class WindowSet:
             size = min(n, len(w))
             lengths.add(size)
             self.vocabulary.update(w)
-            for i in range(len(w) - size + 1):
-                owners = self.windows[b" ".join(w[i : i + size])]
-                if len(self.items) not in owners:
-                    owners.append(len(self.items))
+            body = b" ".join(w)
+            ends = np.cumsum([len(x) + 1 for x in w]) - 1
+            begins = np.concatenate(([0], ends[:-1] + 1))
+            windows = list(zip(begins[: len(w) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True))
+            hashes.append(np.array([xxh3_64_intdigest(body[i:j]) for i, j in windows], np.uint64))
+            places.append(np.array([at + i for i, _ in windows], np.int64))
+            sizes.append(np.array([j - i for i, j in windows], np.int32))
+            owners.append(np.full(len(windows), len(self.items), np.int32))
+            bodies.append(body)
+            at += len(body)
             self.items.append(name)
-        self.windows = dict(self.windows)
+        self.body = b"".join(bodies)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.hashes, self.places, self.sizes, self.owners = join(hashes, np.uint64), join(places, np.int64), join(sizes, np.int32), join(owners, np.int32)
+        order = np.lexsort((self.places, self.hashes))
+        self.hashes, self.places, self.sizes, self.owners = (x[order] for x in (self.hashes, self.places, self.sizes, self.owners))
         self.lengths = sorted(lengths)
         # only a stretch of words that all occur in the benchmark can hold a window
         self.stretch = re.compile(b"\x01{%d,}" % min(lengths)) if lengths else None
 
+    def owners_of(self, grams: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(position in ``grams``, item) of each gram that is a window of an item."""
+        from xxhash import xxh3_64_intdigest
+
+        wanted = np.fromiter(map(xxh3_64_intdigest, grams), np.uint64, len(grams))
+        first = np.searchsorted(self.hashes, wanted)
+        hit = np.flatnonzero(self.hashes[np.minimum(first, len(self.hashes) - 1)] == wanted)
+        for k in hit.tolist():
+            at, h, gram, seen = int(first[k]), wanted[k], grams[k], -1
+            while at < len(self.hashes) and self.hashes[at] == h:
+                place, item = int(self.places[at]), int(self.owners[at])
+                # an item's repeated windows follow each other
+                if item != seen and self.sizes[at] == len(gram) and self.body.startswith(gram, place):
+                    seen = item
+                    yield k, item
+                at += 1
+
     def find(self, w: list[bytes]) -> list[tuple[int, int, str]]:
         """(start, length, item) of every covered stretch, adjoining windows of an item in one."""
         if self.stretch is None:
@@ -70,13 +108,14 @@ class WindowSet:
         found: dict[int, list[list[int]]] = defaultdict(list)
         for m in self.stretch.finditer(bytes(map(self.vocabulary.__contains__, w))):
             for size in self.lengths:
-                for i in range(m.start(), m.end() - size + 1):
-                    for item in self.windows.get(b" ".join(w[i : i + size]), ()):
-                        spans = found[item]
-                        if spans and spans[-1][0] <= i <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], i + size)
-                        else:
-                            spans.append([i, i + size])
+                grams = [b" ".join(w[i : i + size]) for i in range(m.start(), m.end() - size + 1)]
+                for k, item in self.owners_of(grams) if grams else ():
+                    i = m.start() + k
+                    spans = found[item]
+                    if spans and spans[-1][0] <= i <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], i + size)
+                    else:
+                        spans.append([i, i + size])
         return [(a, b - a, self.items[k]) for k, spans in found.items() for a, b in spans]
 
 
@@ -107,30 +146,37 @@ def covered(hits: Column) -> Column:
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``df`` with n_words, hits (array of start, length, item), n_hit, items (sorted) and contaminated.
-
-    The benchmark's size is measured before anything of it is collected; beyond
-    ``block_bytes`` it is taken in blocks, each broadcast alone, against all rows.
-    """
+    """``df`` with n_words, hits (array of start, length, item), n_hit, items (sorted) and contaminated."""
+    outputs = ("n_words", "hits", "n_hit", "items", "contaminated")
+    own = [c for c in df.columns if c not in outputs]
+    rows = df.select(F.col(f"`{text}`").alias("text"), F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own))).alias("row"))
+    found = _found(rows, benchmark, item_id, item_text, n, block_bytes)
+    hits = F.col("hits")
+    made = {"n_words": F.col("n_words"), "hits": hits, "n_hit": covered(hits), "items": F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["item"]))), "contaminated": F.size(hits) > 0}
+    return found.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(own)), *(made[c].alias(c) for c in outputs))
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, n: int, block_bytes: int) -> DataFrame:
+    """rows (text, row) with n_words and hits."""
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text}`").alias("body"))
     total = items.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 32)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
+    if blocks == 1:
+        found = rows.withColumn("_found", _finder(rows, [tuple(r) for r in items.collect()], n)(F.col("text")))
+        return found.select("row", "_found.n_words", "_found.hits")
+    stored = materialize(rows.withColumn("at", F.monotonically_increasing_id()), "numbered")  # rows keep their numbers
     block = F.pmod(F.xxhash64("item", "body"), F.lit(blocks))
-    found = df
+    parts = []
     for k in range(blocks):
-        part = [(r[0], r[1]) for r in (items.filter(block == k) if blocks > 1 else items).toLocalIterator()]
-        seen = _finder(df, part, n)(F.col(f"`{text}`"))
-        if k == 0:
-            found = found.withColumn("_found", seen)
-        else:
-            found = found.withColumn("_more", seen["hits"]).withColumn("_found", F.struct(F.col("_found.n_words").alias("n_words"), F.concat("_found.hits", "_more").alias("hits"))).drop("_more")
-        if blocks > 1:
-            found = materialize(found, "decontaminate")
-    found = found.withColumns({"n_words": F.col("_found.n_words"), "hits": F.col("_found.hits")}).drop("_found")
-    return found.withColumns({
-        "n_hit": covered(F.col("hits")),
-        "items": F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))),
-    }).withColumn("contaminated", F.col("n_hit") > 0)
+        seen = _finder(stored, [tuple(r) for r in items.filter(block == k).collect()], n)(F.col("text"))
+        parts.append(materialize(stored.select("at", seen.alias("f")).filter(F.size("f.hits") > 0).select("at", "f.hits"), "block-hits"))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.union(part)
+    # a document has at most one row of hits a block
+    hits = hits.groupBy("at").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    counted = stored.withColumn("n_words", _finder(stored, [], n)(F.col("text"))["n_words"])
+    return counted.join(hits, "at", "left").select("row", "n_words", F.coalesce("hits", F.array().cast("array<struct<start: long, length: long, item: string>>")).alias("hits"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "documents", **options) -> DataFrame:
@@ -138,10 +184,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", remov
 
     With "spans" the text becomes its remaining normalised words, joined by one space.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
-    found = find_contamination(df.select(F.col(f"`{text}`").alias("_text"), row), benchmark, "_text", **options)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    found = _found(df.select(F.col(f"`{text}`").alias("text"), row), benchmark, **({"item_id": "item_id", "item_text": "text", "n": 10, "block_bytes": BLOCK_BYTES} | options))
     if remove == "documents":
-        return found.filter(~F.col("contaminated")).select("_row.*")
+        return found.filter(F.size("hits") == 0).select("row.*")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
 
@@ -155,5 +201,5 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", remov
             out.append(t if not spans else b" ".join(x for x in w if x).decode())
         return pa.array(out, pa.string())
 
-    kept = found.withColumn("_kept", without("_text", "hits"))
-    return kept.select(*(F.col("_kept").alias(c) if c == text else F.col(f"_row.`{c}`") for c in df.columns))
+    kept = found.withColumn("_kept", without(F.col(f"row.`{text}`"), F.col("hits")))
+    return kept.select(*(F.col("_kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in df.columns))

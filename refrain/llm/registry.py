@@ -67,7 +67,7 @@ URL_RULES = tuple(
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    found = url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, corpus=_table(spark, sf_dir, "documents").select("text"))
     return found.select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 

@@ -332,6 +332,36 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(docs(spark), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_window_set_is_small_and_verifies_words(monkeypatch):
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(6)
+    items = [(f"i{k}", " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(200))) for k in range(1000)]
+    tracemalloc.start()
+    found = decontaminate.WindowSet(items, 10)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    size, n = sum(len(t) for _, t in items), len(found.hashes)
+    assert n == 191 * 1000 and held < size + 45 * n and len(pickle.dumps(found)) < size + 30 * n
+    monkeypatch.setattr("xxhash.xxh3_64_intdigest", lambda x: len(x) % 3)  # few hashes: only words tell windows apart
+    found = decontaminate.WindowSet(items[:9], 10)
+    w = [x.encode() for x in items[7][1].split()]
+    assert found.find(w[50:60]) == [(0, 10, "i7")] and found.find(w[50:59]) == found.find(w[59:49:-1]) == []
+    assert decontaminate.WindowSet([("a", "x y x y x y")], 2).find([b"x", b"y", b"x"]) == [(0, 3, "a")]
+
+
+def test_clashing_columns_are_replaced_and_rows_return_untouched(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "r"), (None, None, 6, "s"), (1, "a b", 5, "r"), (2, "c d", 7, None)], "doc_id long, text string, n_hit int, row string")
+    bench = spark.createDataFrame([("i", "a b")], "item_id string, text string")
+    for block in (10**6, 1):
+        found = decontaminate.find_contamination(df, bench, block_bytes=block)
+        assert found.columns == ["doc_id", "text", "row", "n_words", "hits", "n_hit", "items", "contaminated"]
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in found.collect()) == [(0, 0, 0), (1, 2, 2), (1, 2, 2), (2, 2, 0)]
+        assert sorted((r.doc_id or 0, r.n_hit, r.row or "") for r in decontaminate.decontaminate(df, bench, block_bytes=block).collect()) == [(0, 6, "s"), (2, 7, "")]
+    assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -437,15 +467,79 @@ def plain_rule(url, rules):
     return host, path, str(max(fit, key=lambda r: len(str(r)))) if fit else None
 
 
-def test_url_filter(spark):
-    rules = [url_filter.Rule.of(*x) for x in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
-    urls = [None, "", "nothing", "http://A.Example.COM/en/71?x", "http://example.com/en/6", "https://xexample.net/de/8", "https://m.example.net/de/8#", "a://b://c.org/es/", "http://cheap-pills.example/", "http://casinowin.test/poker", "http://river-museum.example/history", "http://notcom/en/", "http://com/en/", "x://h?q://z.org/es/"]
-    found = url_filter.filter_urls(spark.createDataFrame([(k, u, "old") for k, u in enumerate(urls)], "page_id long, url string, host string"), rules).orderBy("page_id").collect()
+RULES = [url_filter.Rule.of(*x) for x in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))]
+
+
+def test_url_rules(spark):
+    urls = [None, "", "nothing", "http://A.Example.COM/en/71?x", "http://example.com/en/6", "https://xexample.net/de/8", "https://m.example.net/de/8#", "a://b://c.org/es/", "http://cheap-pills.example/", "http://casinowin.test/poker1", "http://river-museum.example/history", "http://notcom/en/", "http://com/en/", "x://h?q://z.org/es/"]
+    corpus = spark.createDataFrame([("casino win river museum test", 1), (None, 2), ("", 3)], "text string, n int").select("text")
+    df = spark.createDataFrame([(k, u, "old", 1) for k, u in enumerate(urls)] + [(3, urls[3], "old", 1)], "page_id long, url string, host string, p int")
+    found = url_filter.filter_urls(df, RULES, corpus).orderBy("page_id").collect()
+    assert found[0].__fields__ == ["page_id", "url", "p", "host", "path", "rule", "words", "block_probability", "held_out", "verdict"] and len(found) == len(urls) + 1
+    for r in found:
+        assert (r.host, r.path, r.rule) == plain_rule(urls[r.page_id], RULES)
+    verdict = {r.page_id: r.verdict for r in found}
+    assert [verdict[k] for k in range(8)] == ["allow"] * 4 + ["block", "allow", "block", "allow"] and [verdict[k] for k in (8, 9, 10)] == ["block", "block", "allow"]
+    assert {r.page_id: r.words for r in found}[9] == ["casino", "win", "test", "poker", "#1"]
+    assert url_filter.filter_urls(df.limit(0), RULES, corpus).count() == 0
+
+
+def test_segmentation_is_the_best_of_all_splits():
+    rng = random.Random(9)
+    for _ in range(300):
+        counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))): rng.randrange(1, 50) for _ in range(6)}
+        name, total = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 10))), sum(counts.values())
+
+        def worth(words, counts=counts, total=total):
+            return sum(np.log(counts[w] / (total + 1)) if w in counts else -np.log(total + 1) - 3 * len(w) for w in words)
+
+        splits = []
+        for mask in range(1 << (len(name) - 1)):
+            at = [0, *(k + 1 for k in range(len(name) - 1) if mask >> k & 1), len(name)]
+            splits.append([name[i:j] for i, j in zip(at, at[1:], strict=False)])
+        found = url_filter.segment(name, counts, total)
+        assert "".join(found) == name and worth(found) == pytest.approx(max(map(worth, splits)))
+
+
+def test_unigrams_are_those_of_plain_counting(spark):
+    rows = ["The Cat sat", None, "cat-sat 12 ÉTÉ\tété\nx", ""]
+    want = Counter(w for t in rows for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
+    assert {r.word: r.n for r in url_filter.count_words(spark.createDataFrame([(t,) for t in rows], "text string")).collect()} == want
+    names = spark.createDataFrame([("catsat",), ("satxcat",), ("q" * 70,), ("zz",)], "name string")
+    words = spark.createDataFrame(list(want.items()), "word string, n long")
+    assert {r.name: r.words for r in url_filter.segmented_names(names, words).collect()} == {"catsat": ["cat", "sat"], "satxcat": ["sat", "x", "cat"], "q" * 70: ["q" * 70], "zz": ["zz"]}
+
+
+def plain_block_probability(words, allowed, blocked, prior):
+    vocabulary = set(allowed) | set(blocked)
+    p = [1 - prior, prior]
+    for w in words:
+        if w in vocabulary:
+            for k, c in enumerate((allowed, blocked)):
+                p[k] *= (c[w] + 1) / (sum(c.values()) + len(vocabulary))
+    return p[1] / sum(p)
+
+
+def test_naive_bayes_is_that_of_plain_counting(spark):
+    rng = random.Random(11)
+    urls = []
+    for k in range(400):
+        name, end, lang = rng.choice(("river", "casino", "stone", "bets")), rng.choice(("com", "net", "org")), rng.choice(("en", "de", "es", "fr"))
+        urls.append((k % 350, f"https://{name}.example.{end}/{lang}/{rng.choice(('x', 'y', '7', '88'))}"))
+    found = url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), RULES, allowed=("river",), blocked=("casino win",), prior=0.4).collect()
+    counts = {"allow": Counter(["river"]), "block": Counter(["casino", "win"])}
+    for host, path in {(r.host, r.path) for r in found}:
+        r = next(r for r in found if (r.host, r.path) == (host, path))
+        if r.rule is not None and not r.held_out:
+            counts[r.verdict].update(r.words)
+    assert any(r.held_out for r in found) and len(counts["allow"]) > 4
     for r in found:
-        assert (r.host, r.path, r.rule) == plain_rule(urls[r.page_id], rules)
-    verdict = [r.verdict for r in found]
-    assert verdict[:3] == ["allow"] * 3 and verdict[3:8] == ["allow", "block", "allow", "block", "allow"] and verdict[8:11] == ["block", "block", "allow"]
-    assert url_filter.UrlModel.fit().segment("cheappillsonline") == ["cheap", "pills", "online"]
+        assert r.words == [f"#{len(w)}" if w.isdigit() else w for w in re.findall(r"[a-z]+|\d+", r.host + " " + r.path)]
+        assert r.block_probability == pytest.approx(plain_block_probability(r.words, counts["allow"], counts["block"], 0.4))
+        if r.rule is None:
+            assert r.verdict == ("block" if r.block_probability >= 0.5 else "allow")
+    decided = [r for r in found if r.rule is not None and r.held_out]
+    assert sum((r.block_probability >= 0.5) == (r.verdict == "block") for r in decided) >= 0.6 * len(decided)
 
 
 def test_fold_is_zlib_crc32(spark):
