@@ -6,7 +6,9 @@ by the lines' lengths, and their calibration give the document's score.
 
 Defined results: blank lines don't count; a null or blank text has one empty line; repeated
 documents score alike; where labelled rows of either class are missing, every score is the
-share of good labels.
+share of good labels, and ``keep_good`` keeps everything. An empty table gives an empty
+result. A column named like the output is replaced by ``score_quality``; other columns,
+whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -137,3 +139,11 @@ def score_quality(df: DataFrame, model: QualityModel, text: str = "text", out: s
             yield pa.array([s for part in parts for s in known.score(part).tolist()], pa.float64())
 
     return df.withColumn(out, scored(F.col(f"`{text}`")))
+
+
+def keep_good(df: DataFrame, model: QualityModel, threshold: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that score at least ``threshold``, with their own columns only."""
+    if model.calibration is None:
+        return df
+    rows = df.select(F.col(f"`{text}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    return score_quality(rows, model, out="score").filter(F.col("score") >= threshold).select("row.*")

@@ -5,7 +5,8 @@ the number of merges. Merges never cross a chunk that starts at a word mark, so
 counted once each and remembered; no identifiers are produced.
 
 Defined results: a null or empty text has 0 tokens; a text of any length is counted whole;
-repeated rows are counted alike; other columns pass through untouched.
+repeated rows are counted alike; an empty table gives an empty result; columns named like an
+output are replaced, others pass through untouched.
 """
 
 from __future__ import annotations

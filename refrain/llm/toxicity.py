@@ -9,7 +9,8 @@ their largest and their sum, and the offsets of tokens more likely toxic than no
 
 Defined results: a null, empty or blank text has no tokens and the score of the smallest
 marginals; repeated documents score alike; where labelled rows of either class are missing,
-every score is the share of toxic labels.
+every score is the share of toxic labels. An empty table gives an empty result. A column
+named like the output is replaced; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations

@@ -94,6 +94,28 @@ def test_sample_is_bounded_and_from_training_rows(spark):
     s = labelled.draw(docs, labels, "quality", labelled.fold(F.col("doc_id"), 5) != 0, per_class=10, most_bytes=50)
     assert len(s.texts) <= 20 and all(len(t) <= 50 for t in s.texts) and 0.4 < s.share < 0.6
     assert labelled.draw(docs, labels.limit(0), "quality", F.lit(True)).texts == []
+    again = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit("z")))).union(docs)
+    assert labelled.draw(again, labels, "quality", F.lit(True), per_class=10, most_bytes=500).texts == [t + "z" for t in labelled.draw(docs, labels, "quality", F.lit(True), per_class=10, most_bytes=500).texts]
+    few = labelled.draw(docs, labels, "quality", F.lit(True), per_class=50, total_bytes=600)
+    assert 0 < sum(map(len, few.texts)) <= 600 and set(few.labels) == {0, 1}
+    assert labelled.draw(docs.limit(0), labels, "quality", F.lit(True)).texts == []
+
+
+def test_scores_of_empty_tables_and_clashing_columns(spark):
+    rows = corpus(random.Random(4), 80)
+    good = quality.QualityModel(Sample([r[0] for r in rows], [r[2] for r in rows], 0.7), rounds=50)
+    toxic = toxicity.ToxicityModel(Sample([r[0] for r in rows], [r[1] for r in rows], 0.3), rounds=5)
+    df = spark.createDataFrame([(k, r[0], "q", "r", 1.0) for k, r in enumerate(rows)] + [(None, None, "q", None, None)], "doc_id long, text string, quality string, row string, score double")
+    scored = quality.score_quality(df, good)
+    assert scored.columns == ["doc_id", "text", "quality", "row", "score"] and dict(scored.dtypes)["quality"] == "double" and scored.count() == 81
+    kept = quality.keep_good(df, good, 0.3)
+    assert kept.columns == df.columns and {r.quality for r in kept.collect()} == {"q"}
+    want = {r.doc_id for r in scored.collect() if r.quality >= 0.3}
+    assert {r.doc_id for r in kept.collect()} == want
+    assert quality.keep_good(df, quality.QualityModel(Sample([], [], 0.0)), 0.3).count() == 81
+    for f in (quality.score_quality(df.limit(0), good), quality.keep_good(df.limit(0), good, 0.3), toxicity.score_toxicity(df.limit(0), toxic)):
+        assert f.count() == 0
+    assert toxicity.score_toxicity(df, toxic).columns == ["doc_id", "text", "quality", "row", "score", "toxicity"]
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -121,6 +143,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == left[3]
 
 
+def test_pipeline_of_empty_tables_nulls_and_repeated_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, at long"
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, None, None, None, None, None, None)] * 3 + [(1, long, "en", "s", 1, "a", 1)] * 3 + [(None, long + " end", "en", "s", 1, "b", 2), (2, "alone", None, None, None, None, None)]
+    for name, docs in (("some", rows), ("none", [])):
+        at = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        pieces = corpus_pipeline.run(spark, at).collect()
+        assert sorted((p.doc_id or 0, p.length) for p in pieces) == sorted((p.doc_id or 0, p.doc_tokens) for p in pieces)
+        assert [p.doc_id for p in sorted(pieces, key=lambda p: p.doc_id or 0)] == ([None, 1, 2] if docs else [])
+
+
 def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
