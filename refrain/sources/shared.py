@@ -1,8 +1,8 @@
 """Shared-storage helpers: where operators cut lineage so that lost executors cost little.
 
 Everything goes to the folder the session names in ``spark.checkpoint.dir``, which all
-executors and the driver share. Only where it is unset (a local test session) a folder of
-our own is chosen.
+executors and the driver share. Only where it is unset, on a local master, a folder of our
+own is chosen; on a cluster that would be a folder of one machine, and is refused.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
-    if not found:  # local sessions only: one machine, so its own folder is shared
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="refrain-checkpoint-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -29,4 +32,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/refrain-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._refrain_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing that is still to run reads it."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._refrain_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
