@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refrain.sources.shared import materialize
+from refrain.sources.shared import discard, materialize
 
 
 def _state(links: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        links = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        old, links = links, materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(old)
         before, state = state, _state(links)
         if before == state:
             break

@@ -230,6 +230,39 @@ def test_near_copies_of_shingle_similarity(spark):
     roots = components_of(sets, alike)
     near = [r for r in corpus_pipeline.near_dedup_stage(spark, docs(spark, rows), "").collect() if r.text != "no id"]
     assert sorted(r.doc_id for r in near) == sorted(set(roots.values()))
+    odd = spark.createDataFrame([(1, "a b c", 7), (2, "a b c", 8)], "doc_id long, text string, at int")
+    assert [tuple(r) for r in near_copies.drop_near_copies(odd).collect()] == [(1, "a b c", 7)]
+    assert near_copies.drop_near_copies(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [2048, 3])
+def test_large_group_of_near_copies_is_that_of_all_pairs(spark, crowd, monkeypatch):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for k in range(120):  # copies of one base and mixtures with another, from alike to hardly
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(12)):
+            w[at] = f"x{k}{at}"
+        if k % 5 == 0:
+            w[:70] = [f"y{k}{i}" for i in range(70)]
+        rows.append(" ".join(w))
+    sets = dict(enumerate(map(plain_shingles, rows)))
+    roots = components_of(sets, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    near = near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in near.collect()) == sorted(set(roots.values())) and len(set(roots.values())) > 20
+
+
+def test_sketches_of_similar_sets_agree():
+    rng = np.random.default_rng(5)
+    short = 0
+    for _ in range(300):
+        x = rng.integers(0, 2**64, 300, np.uint64)
+        y = np.concatenate([x[:270], rng.integers(0, 2**64, 30, np.uint64)])  # similarity 0.818
+        a, b = (np.frombuffer(near_copies.sketch(near_copies.signature(s)), np.uint8) for s in (x, y))
+        short += (a == b).sum() < near_copies.agreements(0.8)
+    assert short <= 2
 
 
 def test_one_row_of_each_group_of_near_copies_stays_without_ids(spark):
