@@ -29,13 +29,13 @@ PROBE_TYPE = "struct<format: struct<duration: string>, streams: array<struct<cod
 
 
 def probed(json: Column, path: Column) -> Column:
-    """struct(kind, duration) of a prober's JSON; the extension's kind and 0 seconds where it can't be read."""
+    """struct(kind, duration) of a prober's JSON; the extension's kind (else audio) and 0 seconds where it can't be read."""
     doc = F.from_json(json, PROBE_TYPE)
     picture = lambda s: F.coalesce(s["disposition"]["attached_pic"], F.lit(0)) == 0
     video = F.exists(doc["streams"], lambda s: (s["codec_type"] == "video") & picture(s))
     failed = doc.isNull() | (doc["streams"].isNull() & doc["format"].isNull())
     return F.struct(
-        F.when(failed, classify_ext(path)).when(F.coalesce(video, F.lit(False)), "video").otherwise("audio").alias("kind"),
+        F.when(failed, F.coalesce(classify_ext(path), F.lit("audio"))).when(F.coalesce(video, F.lit(False)), "video").otherwise("audio").alias("kind"),
         F.coalesce(F.when(failed, F.lit(0.0)).otherwise(doc["format"]["duration"].try_cast("double")), F.lit(0.0)).alias("duration"),
     )
 

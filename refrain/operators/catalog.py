@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.functions.bits import slice_seconds
@@ -74,29 +74,41 @@ def migrated(df: DataFrame, name: str) -> DataFrame:
     return df.select(*out)
 
 
-def _numbered(df: DataFrame, after: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ids that follow those of ``after``. New rows of a scan or review are few, and are numbered in one order."""
-    last = after.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    return df.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long")).crossJoin(F.broadcast(last)).withColumn("id", F.col("id") + F.col("_last")).drop("_last")
+def numbered(df: DataFrame, after: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ids that follow those of ``after``, in one order: rows are sorted by range, numbered within partitions, and partitions offset."""
+    stored = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    next_id = (after.agg(F.max("id")).first()[0] or 0) + 1
+    offsets = []
+    for row in stored.groupBy(part.alias("part")).agg((F.max(place) + 1).alias("n")).orderBy("part").collect():  # one row a partition
+        offsets.append((row["part"], next_id))
+        next_id += row["n"]
+    known = df.sparkSession.createDataFrame(offsets, "_part long, _first long")
+    return stored.withColumn("_part", part).join(F.broadcast(known), "_part").withColumn("id", F.col("_first") + place).drop("_part", "_first", "_at")
 
 
 def add_patterns(catalog: Catalog, new: DataFrame, now: float, order: list[str]) -> Catalog:
     """new: library, folder, items, item_sec, bits, duration and maybe status, shows."""
+    return add_numbered_patterns(catalog, numbered(new, catalog.patterns, order), now)
+
+
+def add_numbered_patterns(catalog: Catalog, new: DataFrame, now: float) -> Catalog:
+    """new: as for ``add_patterns``, with id."""
     full = new.withColumns({"orig_items": F.col("items"), "orig_duration": F.col("duration"), "created_at": F.lit(now), "updated_at": F.lit(now)})
-    return replace(catalog, patterns=catalog.patterns.unionByName(migrated(_numbered(full, catalog.patterns, order), "patterns")))
+    return replace(catalog, patterns=catalog.patterns.unionByName(migrated(full, "patterns")))
 
 
 def add_clips(catalog: Catalog, new: DataFrame, now: float, order: tuple[str, ...] = ("pattern_id", "file_path", "start")) -> Catalog:
     """new: pattern_id, file_path, start, end."""
     full = new.withColumns({"file_name": file_name(F.col("file_path")), "orig_start": F.col("start"), "orig_end": F.col("end"), "created_at": F.lit(now)})
-    return replace(catalog, clips=catalog.clips.unionByName(migrated(_numbered(full, catalog.clips, list(order)), "clips")))
+    return replace(catalog, clips=catalog.clips.unionByName(migrated(numbered(full, catalog.clips, list(order)), "clips")))
 
 
 def add_processed(catalog: Catalog, new: DataFrame, now: float) -> Catalog:
     """new: file_path, output_path, removed, saved_sec."""
     rounded = F.transform("removed", lambda r: F.struct(F.round(r["start"], 2).alias("start"), F.round(r["end"], 2).alias("end")))
     full = new.withColumns({"file_name": file_name(F.col("file_path")), "removed": rounded, "created_at": F.lit(now)})
-    return replace(catalog, processed=catalog.processed.unionByName(migrated(_numbered(full, catalog.processed, ["file_path"]), "processed")))
+    return replace(catalog, processed=catalog.processed.unionByName(migrated(numbered(full, catalog.processed, ["file_path"]), "processed")))
 
 
 def store_fingerprints(catalog: Catalog, new: DataFrame, now: float) -> Catalog:
@@ -196,6 +208,56 @@ def unknown_clips(candidates: DataFrame, clips: DataFrame) -> DataFrame:
     return candidates.join(there, same & (F.abs(F.col("start") - F.col("_start")) < SAME_START), "left_anti")
 
 
+def apart(candidates: DataFrame) -> DataFrame:
+    """Of candidates (pattern_id, file_path, start, ...) of one pattern and file, in order of start, those a second or more after the last kept.
+
+    An occurrence added a moment ago counts as one that is there. A pattern has few in a file.
+    """
+    rest = [c for c in candidates.columns if c not in ("pattern_id", "file_path", "start")]
+    rows = F.sort_array(F.collect_list(F.struct("start", *rest)))
+    grouped = candidates.groupBy("pattern_id", "file_path").agg(rows.alias("_rows"))
+    far = lambda kept, s: F.coalesce(s - F.get(kept, F.size(kept) - 1) >= SAME_START, F.lit(True))
+    starts = F.aggregate(F.transform("_rows", lambda r: r["start"]), F.array().cast("array<double>"), lambda kept, s: F.when(far(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+    first = lambda r, i: (i == 0) | (F.get(F.col("_rows"), i - 1)["start"] != r["start"])
+    kept = grouped.withColumn("_starts", starts).withColumn("_kept", F.filter("_rows", lambda r, i: F.array_contains(F.col("_starts"), r["start"]) & first(r, i)))
+    return kept.select("pattern_id", "file_path", F.inline("_kept")).select(*candidates.columns)
+
+
+def new_clips(candidates: DataFrame, clips: DataFrame) -> DataFrame:
+    """Candidates that become clips one after another: none within a second of a clip that is there or was just added."""
+    return apart(unknown_clips(candidates, clips))
+
+
+def clips_of(clips: DataFrame, pattern_id: int) -> DataFrame:
+    return clips.filter(F.col("pattern_id") == pattern_id).orderBy("start", "id")
+
+
+def processed_latest(processed: DataFrame) -> DataFrame:
+    """Newest first."""
+    return processed.orderBy(F.desc("id"))
+
+
+def known_files(catalog: Catalog, files: DataFrame) -> DataFrame:
+    """``files`` (file_path, ...) with has_fingerprint and is_processed."""
+    out = files
+    for name, table in (("has_fingerprint", catalog.fingerprints), ("is_processed", catalog.processed)):
+        there = table.select("file_path").distinct().withColumn("_there", F.lit(True))
+        out = out.join(there, "file_path", "left").withColumn(name, F.coalesce("_there", F.lit(False))).drop("_there")
+    return out
+
+
+def ordered_for_review(patterns: DataFrame) -> DataFrame:
+    """By review state, pending first, then by id."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")), F.lit(0))
+    return patterns.orderBy(rank, "id")
+
+
+def set_preview(catalog: Catalog, previews: DataFrame) -> Catalog:
+    """previews: id, preview."""
+    joined = catalog.clips.join(previews.select("id", F.col("preview").alias("_p")), "id", "left")
+    return replace(catalog, clips=joined.withColumn("preview", F.coalesce("_p", "preview")).select(*catalog.clips.columns))
+
+
 def payload(patterns: DataFrame, clips: DataFrame) -> DataFrame:
     """A row per pattern with its clips, by start; bounds and durations to two places."""
     moved = lambda c: F.abs(F.coalesce(c, F.lit(0.0)) - F.coalesce(f"orig_{c}", c, F.lit(0.0))) > 0.05

@@ -8,7 +8,7 @@ that items are shuffled once to be keyed and never again one by one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,20 +31,23 @@ def seed_index(streams: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     return exploded(streams, "file", scope).groupBy(*scope, "file", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def votes(a: DataFrame, b: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE, ordered: bool = False) -> DataFrame:
+def votes(a: DataFrame, b: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE, extra: Sequence[str] = (), where: Callable | None = None) -> DataFrame:
     """(scope, a, b, off, votes, lo, hi): item pairs with equal keys, by alignment; lo and hi are a's outermost positions.
 
-    b's buckets of over ``seed_max_bucket`` items don't vote. With ``ordered``, a stream meets
-    only those with a larger ``idx``. Both sides are placed by scope and key once: the bucket
-    sizes are counted where the join finds them.
+    b's buckets of over ``seed_max_bucket`` items don't vote. ``where`` tells which streams meet: a
+    condition built from two functions, which give a's and b's columns of those named in
+    ``extra``. Both sides are placed by scope and key once: the bucket sizes are counted where the
+    join finds them.
     """
     place = [*scope, "key"]
-    left = exploded(a, "a", scope, ["idx"] if ordered else []).withColumnsRenamed({"pos": "a_pos", "idx": "a_idx"}).repartition(*place)
-    right = exploded(b, "b", scope, ["idx"] if ordered else []).withColumnsRenamed({"pos": "b_pos", "idx": "b_idx"}).repartition(*place)
-    right = right.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*place, "b"))).filter(F.col("_n") <= params.seed_max_bucket).drop("_n")
-    met = left.join(right, place)
-    if ordered:
-        met = met.filter(F.col("a_idx") < F.col("b_idx"))
+
+    def side(streams: DataFrame, name: str) -> DataFrame:
+        return exploded(streams, name, scope, extra).withColumnsRenamed({c: f"{name}_{c}" for c in ("pos", *extra)}).repartition(*place)
+
+    right = side(b, "b").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*place, "b"))).filter(F.col("_n") <= params.seed_max_bucket).drop("_n")
+    met = side(a, "a").join(right, place)
+    if where is not None:
+        met = met.filter(where(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
     return met.groupBy(*scope, "a", "b", (F.col("b_pos") - F.col("a_pos")).alias("off")).agg(F.count(F.lit(1)).alias("votes"), F.min("a_pos").alias("lo"), F.max("a_pos").alias("hi"))
 
 
@@ -104,7 +107,7 @@ def pair_runs(streams: DataFrame, params: DetectParams, scope: Sequence[str] = S
 
     The stream with the smaller ``idx`` is a, and gives the least length and the largest gap.
     """
-    cands = candidate_offsets(votes(streams, streams, params, scope, ordered=True), params, scope)
+    cands = candidate_offsets(votes(streams, streams, params, scope, ["idx"], lambda a, b: a("idx") < b("idx")), params, scope)
     found = aligned(cands, streams, streams, scope, MARGIN, ["item_sec"])
     found = found.withColumn("_least", params.min_items(F.col("item_sec"))).filter(F.size("xs") >= F.col("_least"))
     run = run_arrays(F.col("positions"), F.col("_least"), params.max_gap_items(F.col("item_sec")), params.min_density)
@@ -137,9 +140,9 @@ def recurring_segments(streams: DataFrame, params: DetectParams, scope: Sequence
     )
 
 
-def alignments(patterns: DataFrame, streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """(scope, a, b, off, turn, n, na, ratio, start, end): patterns (a) at each candidate alignment with streams (b)."""
-    covers = coverage_at(candidate_offsets(votes(patterns, streams, params, scope), params, scope), patterns, streams, params, scope)
+def alignments(patterns: DataFrame, streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE, extra: Sequence[str] = (), where: Callable | None = None) -> DataFrame:
+    """(scope, a, b, off, turn, n, na, ratio, start, end): patterns (a) at each candidate alignment with streams (b) that ``where`` lets meet."""
+    covers = coverage_at(candidate_offsets(votes(patterns, streams, params, scope, extra, where), params, scope), patterns, streams, params, scope)
     p = F.col("positions")
     hit = covers.withColumn("n", F.size(p)).filter("n > 0")
     return hit.select(

@@ -1,8 +1,7 @@
 """Reconciliation: detections become patterns, and nested or repeated ones are resolved.
 
-Similarity, overlap and coverage are joins. Only what depends on an order of decisions, the
-leader of each group and one-to-one claims, runs per folder or file in Python, over edges
-and clips and never over items.
+Similarity, overlap and coverage are joins; leaders are found in rounds of joins. Only
+one-to-one claims run per file in Python, over one pattern's clips and never over items.
 """
 
 from __future__ import annotations
@@ -49,14 +48,14 @@ def known_occurrences(patterns: DataFrame, fingerprints: DataFrame, params: Dete
 
 
 def apply_known(catalog: Catalog, params: DetectParams, now: float, ids: DataFrame | None = None, files: DataFrame | None = None) -> tuple[Catalog, DataFrame]:
-    """Adds a clip wherever a confirmed pattern is and no clip yet; the added ones.
+    """Adds a clip wherever a confirmed pattern is and no clip yet, nor one just added; the added ones.
 
     With ``ids`` those patterns whatever their length and state, else all confirmed ones of at least the
     least length; with ``files`` (file_path) only there.
     """
     chosen = catalog.patterns.join(ids.select("id"), "id", "left_semi") if ids is not None else catalog.patterns.filter((F.col("status") == "confirmed") & (F.col("duration") >= params.min_seconds))
     prints = catalog.fingerprints if files is None else catalog.fingerprints.join(files.select("file_path"), "file_path", "left_semi")
-    added = materialize(cat.unknown_clips(known_occurrences(chosen, prints, params), catalog.clips), "known")
+    added = materialize(cat.new_clips(known_occurrences(chosen, prints, params), catalog.clips), "known")
     bumps = added.groupBy(F.col("pattern_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("_n"))
     bumped = catalog.patterns.join(bumps, "id", "left").withColumns({"shows": F.col("shows") + F.coalesce("_n", F.lit(0)), "updated_at": F.when(F.col("_n").isNotNull(), now).otherwise(F.col("updated_at"))})
     return cat.add_clips(replace(catalog, patterns=bumped.select(*catalog.patterns.columns)), added, now), added
@@ -65,16 +64,16 @@ def apply_known(catalog: Catalog, params: DetectParams, now: float, ids: DataFra
 def leader_edges(segments: DataFrame, leaders: DataFrame, params: DetectParams, self_match: bool = False) -> DataFrame:
     """(folder, bits, a, b, ratio): segments (a) that fit a leader (b) of compatible length well enough.
 
-    Both sides are streams with a duration. With ``self_match`` leaders are segments too, earlier by idx.
+    Both sides are streams with a duration. With ``self_match`` leaders are segments too, earlier
+    by idx. Length and order are told before any alignment is counted.
     """
-    found = match.best_ratio(match.alignments(segments, leaders, params)).filter(F.col("ratio") >= params.dedupe_ratio)
-    order = ["idx"] if self_match else []
-    a = segments.select("folder", "bits", F.col("file").alias("a"), F.col("duration").alias("_da"), *(F.col(c).alias(f"_{c}a") for c in order))
-    b = leaders.select("folder", "bits", F.col("file").alias("b"), F.col("duration").alias("_db"), *(F.col(c).alias(f"_{c}b") for c in order))
-    near = found.join(a, ["folder", "bits", "a"]).join(b, ["folder", "bits", "b"]).filter(length_compatible(F.col("_da"), F.col("_db")))
-    if self_match:
-        near = near.filter(F.col("_idxb") < F.col("_idxa"))
-    return near.select("folder", "bits", "a", "b", "ratio")
+
+    def may_lead(a, b) -> Column:  # noqa: ANN001
+        fits = length_compatible(a("duration"), b("duration"))
+        return fits & (b("idx") < a("idx")) if self_match else fits
+
+    found = match.alignments(segments, leaders, params, extra=("duration", "idx") if self_match else ("duration",), where=may_lead)
+    return match.best_ratio(found).filter(F.col("ratio") >= params.dedupe_ratio).select("folder", "bits", "a", "b", "ratio")
 
 
 def assign_leaders(segments: DataFrame, known: DataFrame, among: DataFrame) -> DataFrame:
@@ -83,27 +82,32 @@ def assign_leaders(segments: DataFrame, known: DataFrame, among: DataFrame) -> D
     segments: folder, segment, idx. known: folder, segment, pattern (the oldest pattern that it
     fits). among: folder, segment, earlier (segments that it fits). A segment takes the first
     that fits: known patterns by id, then earlier segments that lead; else it leads itself.
-    The order matters, so a folder's edges are walked in one task; they are few.
-    """
-    links = segments.select("folder", "segment", "idx").join(known.groupBy("folder", "segment").agg(F.min("pattern").alias("pattern")), ["folder", "segment"], "left")
-    links = links.join(among.groupBy("folder", "segment").agg(F.collect_list("earlier").alias("earlier")), ["folder", "segment"], "left")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        leads: dict[int, int] = {}
-        out = []
-        for row in pdf.sort_values("idx").itertuples():
-            if not pd.isna(row.pattern):
-                out.append((row.folder, row.segment, int(row.pattern), True))
-                continue
-            fits = [leads[e] for e in (row.earlier if row.earlier is not None else ()) if e in leads]
-            if fits:
-                out.append((row.folder, row.segment, min(fits)[1], False))
-            else:
-                leads[row.segment] = (row.idx, row.segment)
-                out.append((row.folder, row.segment, row.segment, False))
-        return pd.DataFrame(out, columns=["folder", "segment", "leader", "known"])
-
-    return links.groupBy("folder").applyInPandas(walk, "folder string, segment long, leader long, known boolean")
+    In each round those lead that have no undecided earlier segment left, and whoever fits one of
+    them follows; so a round decides all segments whose order is settled, in any number of tasks.
+    """
+    key = ["folder", "segment"]
+    taken = known.groupBy(*key).agg(F.min("pattern").alias("leader"))
+    todo = materialize(segments.select(*key, "idx").join(taken.select(*key), key, "left_anti"), "undecided")
+    earlier = todo.select("folder", F.col("segment").alias("earlier"), F.col("idx").alias("earlier_idx"))
+    edges = fits = materialize(among.select(*key, "earlier").distinct().join(todo.select(*key), key, "left_semi").join(earlier, ["folder", "earlier"]), "fits")
+    lead = []
+    while todo.limit(1).count():
+        new = materialize(todo.join(edges.select(*key).distinct(), key, "left_anti").select(*key), "leaders")
+        lead.append(new)
+        follow = edges.join(new.withColumnRenamed("segment", "earlier"), ["folder", "earlier"], "left_semi").select(*key).distinct()
+        todo = materialize(todo.join(new, key, "left_anti").join(follow, key, "left_anti"), "undecided")
+        left = todo.select("folder", F.col("segment").alias("earlier"))
+        edges = materialize(edges.join(todo.select(*key), key, "left_semi").join(left, ["folder", "earlier"], "left_semi"), "fits")
+    none = todo.select(*key)  # empty by now
+    leading = none
+    for new in lead:
+        leading = leading.union(new)
+    leading = materialize(leading, "leading")
+    first = fits.join(leading.withColumnRenamed("segment", "earlier"), ["folder", "earlier"], "left_semi").groupBy(*key).agg(F.min(F.struct("earlier_idx", "earlier")).alias("f"))
+    own = leading.select(*key, F.col("segment").alias("leader"))
+    following = first.join(leading, key, "left_anti").select(*key, F.col("f.earlier").alias("leader"))
+    return taken.join(segments.select(*key), key, "left_semi").select(*key, "leader", F.lit(True).alias("known")).union(own.union(following).withColumn("known", F.lit(False)))
 
 
 def store_segments(catalog: Catalog, found: DataFrame, params: DetectParams, library: str, now: float) -> Catalog:
@@ -126,13 +130,13 @@ def store_segments(catalog: Catalog, found: DataFrame, params: DetectParams, lib
     placed = materialize(segs.join(leaders.withColumnRenamed("segment", "file"), ["folder", "file"]), "leaders")
     minted = placed.filter(~F.col("known") & (F.col("leader") == F.col("file")))
     order_by = ["folder", "idx"]
-    made = cat.add_patterns(catalog, minted.select(F.lit(library).alias("library"), "folder", "items", "item_sec", "bits", "duration", "idx"), now, order_by)
-    last = catalog.patterns.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    names = minted.select("folder", F.col("file").alias("leader"), (F.row_number().over(Window.orderBy(*order_by)) + last).cast("long").alias("_new"))
+    numbered = materialize(cat.numbered(minted.select(F.lit(library).alias("library"), "folder", "items", "item_sec", "bits", "duration", F.col("file").alias("leader"), "idx"), catalog.patterns, order_by), "minted")
+    made = cat.add_numbered_patterns(catalog, numbered.drop("leader", "idx"), now)
+    names = numbered.select("folder", "leader", F.col("id").alias("_new"))
     clips = placed.join(names, ["folder", "leader"], "left").select(
         F.when(F.col("known"), F.col("leader")).otherwise(F.col("_new")).alias("pattern_id"), F.col("path").alias("file_path"), F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), "idx"
     )
-    fresh = materialize(cat.unknown_clips(clips, catalog.clips), "fresh")
+    fresh = materialize(cat.new_clips(clips, catalog.clips), "fresh")
     return cat.recount_shows(cat.add_clips(made, fresh.drop("idx"), now), fresh.select(F.col("pattern_id").alias("id")), now)
 
 
@@ -173,12 +177,23 @@ def absorbed(patterns: DataFrame, clips: DataFrame, confirmed: DataFrame, thresh
     own = clips.join(pending, "pattern_id").select(F.col("id").alias("clip"), "pattern_id", "folder", "file_path", "start", "end")
     length = F.col("end") - F.col("start")
     overlap = F.greatest(F.lit(0.0), F.least("end", "_e") - F.greatest("start", "_s"))
-    hit = own.filter(length > 0).join(theirs, ["folder", "file_path"]).filter((F.col("by") != F.col("pattern_id")) & (overlap / length >= threshold)).select("clip", "pattern_id", "by").distinct()
+    met = _stretched(own.filter(length > 0), F.col("start"), F.col("end")).drop("_first").join(_stretched(theirs, F.col("_s"), F.col("_e")).drop("_first"), ["folder", "file_path", "_stretch"])
+    hit = met.filter((F.col("by") != F.col("pattern_id")) & (overlap / length >= threshold)).select("clip", "pattern_id", "by").distinct()
     covered = hit.groupBy("pattern_id", "by").agg(F.count(F.lit(1)).alias("_c"))
     total = own.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("_n"))
     return covered.join(total, "pattern_id").filter(F.col("_c") / F.col("_n") >= threshold).select(F.col("pattern_id").alias("id")).distinct()
 
 
+#: Seconds of a file that meet in one task when ranges of it are compared.
+STRETCH = 600.0
+
+
+def _stretched(ranges: DataFrame, start: Column, end: Column) -> DataFrame:
+    """``ranges`` once for each stretch of its file that it touches, with _stretch and _first, its first."""
+    first, last = F.floor(start / STRETCH).cast("long"), F.floor(F.greatest(start, end) / STRETCH).cast("long")
+    return ranges.withColumn("_first", first).withColumn("_stretch", F.explode(F.sequence(first, last)))
+
+
 def contained_clips(patterns: DataFrame, clips: DataFrame, tol: float = 1.5) -> DataFrame:
     """(id): clips that strictly shorter clips of the same file and review state cover.
 
@@ -189,20 +204,31 @@ def contained_clips(patterns: DataFrame, clips: DataFrame, tol: float = 1.5) ->
     length = F.col("end") - F.col("start")
     parts = c.select("folder", "file_path", "status", F.col("start").alias("part_start"), F.col("end").alias("part_end"))
     # a part that ends before the clip or starts after its end can't change the verdict
-    near = c.join(parts, ["folder", "file_path", "status"]).filter((F.col("part_end") - F.col("part_start") < length - 1e-6) & (F.col("part_end") > F.col("start")) & (F.col("part_start") <= F.greatest("end", F.col("start") + tol) + tol))
-    return intervals.covered(c.select("id", "start", "end"), _later(c, near, parts, tol), ["id"], tol)
+    reach = F.greatest("end", F.col("start") + tol) + tol
+    place = ["folder", "file_path", "status", "_stretch"]
+    met = _stretched(c, F.col("start"), reach).join(_stretched(parts, F.col("part_start"), F.col("part_end")).withColumnRenamed("_first", "_part_first"), place)
+    near = met.filter(F.col("_stretch") == F.greatest("_first", "_part_first"))  # once a pair
+    near = near.filter((F.col("part_end") - F.col("part_start") < length - 1e-6) & (F.col("part_end") > F.col("start")) & (F.col("part_start") <= reach))
+    return intervals.covered(c.select("id", "start", "end"), _later(c, near, tol), ["id"], tol)
 
 
-def _later(c: DataFrame, near: DataFrame, parts: DataFrame, tol: float) -> DataFrame:
-    """Parts near a clip; for clips no longer than ``tol``, of all later shorter ones the earliest too, as it ends the walk."""
-    short = c.filter(F.col("end") - F.col("start") <= tol)
-    after = short.join(parts, ["folder", "file_path", "status"]).filter((F.col("part_end") - F.col("part_start") < F.col("end") - F.col("start") - 1e-6) & (F.col("part_start") > F.col("start") + tol))
+def _later(c: DataFrame, near: DataFrame, tol: float) -> DataFrame:
+    """Parts near a clip; for clips no longer than ``tol``, of all later shorter ones the earliest too, as it ends the walk.
+
+    Only clips that are short themselves can be shorter, and short clips are few.
+    """
+    key = ["folder", "file_path", "status"]
+    length = F.col("end") - F.col("start")
+    short = c.filter(length <= tol).select(*key, "id", "start", "end", length.alias("length"))
+    after = short.alias("s").join(short.select(*key, F.col("start").alias("part_start"), F.col("end").alias("part_end"), F.col("length").alias("_l")), key)
+    after = after.filter((F.col("_l") < F.col("length") - 1e-6) & (F.col("part_start") > F.col("start") + tol))
     first = after.groupBy("id").agg(F.min(F.struct("part_start", "part_end")).alias("p")).select("id", "p.part_start", "p.part_end")
     return near.select("id", "part_start", "part_end").union(first).distinct()
 
 
-def dedupe_contained(catalog: Catalog, tol: float = 1.5, now: float = 0.0) -> Catalog:
-    gone = materialize(contained_clips(catalog.patterns, catalog.clips, tol), "contained")
+def dedupe_contained(catalog: Catalog, tol: float = 1.5, now: float = 0.0, folder: str | None = None) -> Catalog:
+    patterns = catalog.patterns if folder is None else catalog.patterns.filter(F.col("folder") == folder)
+    gone = materialize(contained_clips(patterns, catalog.clips, tol), "contained")
     touched = catalog.clips.join(gone, "id", "left_semi").select(F.col("pattern_id").alias("id"))
     return cat.recount_shows(cat.delete_clips(catalog, gone), materialize(touched.distinct(), "touched"), now)
 
@@ -263,7 +289,7 @@ def relocate_group(catalog: Catalog, clip_id: int, params: DetectParams, now: fl
     claimed = materialize(claim_occurrences(catalog.clips.filter(F.col("pattern_id") == pid), places), "claimed")
     catalog = cat.set_bounds(catalog, claimed.filter("clip IS NOT NULL AND start IS NOT NULL").select(F.col("clip").alias("id"), "start", "end"), detected=True)
     new = claimed.filter("clip IS NULL").select(F.lit(pid).cast("long").alias("pattern_id"), "file_path", "start", "end")
-    catalog = cat.add_clips(catalog, cat.unknown_clips(new, catalog.clips), now).settled()
+    catalog = cat.add_clips(catalog, cat.new_clips(new, catalog.clips), now).settled()
     if split_nonmatches:
         lost = claimed.filter("clip IS NOT NULL AND start IS NULL").join(catalog.clips.select(F.col("id").alias("clip"), F.col("start").alias("at")), "clip").orderBy("at", "clip").select("clip")
         first = lost.first()

@@ -163,7 +163,11 @@ def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def length_compatible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = _segments(spark, sf_dir)[1].select("folder", "doc", "start", "idx", "duration")
     a, b = (segs.withColumnsRenamed({c: f"{c}_{x}" for c in ("doc", "start", "idx", "duration")}) for x in "ab")
-    pairs = a.join(b, "folder").filter((F.col("idx_a") < F.col("idx_b")) & reconcile.length_compatible(F.col("duration_b"), F.col("duration_a")))
+    # compatible lengths differ by a quarter of the shorter at most: by one class of lengths
+    size = lambda c: F.floor(F.log(c) / F.log(F.lit(1 / (1 - reconcile.LENGTH_TOL)))).cast("int")
+    a = a.withColumn("_class", size("duration_a"))
+    b = b.withColumn("_class", F.explode(F.array(*(size("duration_b") + k for k in (-1, 0, 1)))))
+    pairs = a.join(b, ["folder", "_class"]).filter((F.col("idx_a") < F.col("idx_b")) & reconcile.length_compatible(F.col("duration_b"), F.col("duration_a")))
     return pairs.select("folder", F.col("doc_a").alias("file_a"), "start_a", F.col("doc_b").alias("file_b"), "start_b")
 
 

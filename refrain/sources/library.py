@@ -7,6 +7,7 @@ its error and doesn't stop the others.
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
 from collections.abc import Iterator, Sequence
@@ -23,17 +24,29 @@ ROOT = "(root)"
 TIMEOUT_S = 600
 FRAMES_PER_SECOND = 4
 FRAME = (9, 8)
+TOOLS = ("ffmpeg", "ffprobe", "fpcalc")
 
 
 def which(tool: str) -> str | None:
     return shutil.which(tool)
 
 
+def detect_tools() -> dict[str, str | None]:
+    """Where each external tool is, or None."""
+    return {tool: which(tool) for tool in TOOLS}
+
+
+def tool_status(tools: dict[str, str | None]) -> dict[str, bool]:
+    """What can be done: cutting takes both programs of its package."""
+    return {"ffmpeg": bool(tools.get("ffmpeg") and tools.get("ffprobe")), "fpcalc": bool(tools.get("fpcalc"))}
+
+
 def run_tool(command: Sequence[str]) -> bytes:
-    """A tool's output; the error is the last lines it wrote."""
+    """A tool's output; the error names it and has the last lines it wrote."""
     done = subprocess.run(list(command), capture_output=True, timeout=TIMEOUT_S, check=False)
     if done.returncode:
-        raise RuntimeError("\n".join(done.stderr.decode(errors="replace").strip().splitlines()[-4:]))
+        lines = (done.stderr or done.stdout).decode(errors="replace").strip().splitlines()[-4:]
+        raise RuntimeError(f"{os.path.basename(command[0])} failed (exit {done.returncode})" + (": " + " | ".join(lines) if lines else ""))
     return done.stdout
 
 
@@ -95,7 +108,7 @@ def probe(files: DataFrame, tool: str | None = None) -> DataFrame:
     """``files`` with kind and duration; those of the extension and 0 where there is no tool or it fails."""
     tool = tool or which("ffprobe")
     if tool is None:
-        return files.withColumn("duration", F.lit(0.0))
+        return files.withColumns({"kind": F.coalesce(classify_ext(F.col("file_path")), F.lit("audio")), "duration": F.lit(0.0)})
     run = _tool_output(files, lambda path: [tool, "-v", "quiet", "-print_format", "json", "-show_format", "-show_streams", path])
     found = run.withColumn("_p", probed(F.decode("output", "UTF-8"), F.col("file_path")))
     return found.withColumns({"kind": F.col("_p.kind"), "duration": F.col("_p.duration")}).drop("_p", "output", "error")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from refrain.operators import catalog as cat
 from refrain.operators import reconcile
 from refrain.operators.catalog import Catalog
-from refrain.plans import progress, removal
+from refrain.plans import commands, progress, removal
 from refrain.plans.params import DetectParams
 from refrain.plans.scan import scan, summary
 from refrain.sources import library
@@ -66,7 +66,9 @@ def test_scan_groups_normalises_and_reuses(spark):
     batch = [(f, "f", 32, SEC, noise(rng, 20 + 7 * k) + fuzz(rng, short) + noise(rng, 60) + fuzz(rng, long) + noise(rng, 20), k) for k, f in enumerate("abc")]
     df = spark.createDataFrame(batch, "file_path string, folder string, bits int, item_sec double, items array<long>, idx int")
     before = Catalog.empty(spark)
-    after = scan(before, df, P, 1.0, "lib")
+    events = []
+    after = scan(before, df, P, 1.0, "lib", progress=lambda e: events.extend(progress.enriched(e).collect()))
+    assert [e.stage for e in events if e.stage != "found"] == ["detect", "normalize", "done"] and sum(e.stage == "found" for e in events) == 6 and events[-1].percent == 99.0
     patterns = after.patterns.orderBy("duration").collect()
     assert [round(p.duration / SEC) for p in patterns] == pytest.approx([80, 160], abs=4)
     assert [p.shows for p in patterns] == [3, 3]
@@ -177,7 +179,10 @@ def test_library_listing(spark, tmp_path):
     script.chmod(0o755)
     good, bad = library.fingerprint(files.filter("folder = 'Show A'"), fpcalc=str(script))
     assert [(r.file_name, r["items"], r.item_sec) for r in good.collect()] == [("ep1.mp3", [1, 2], 2.0)]
-    assert {r.error for r in bad.collect()} == {"bad"}
+    assert {r.error for r in bad.collect()} == {"tool failed (exit 1): bad"}
+    assert {r.kind for r in library.probe(files.withColumn("file_path", F.lit("x.odd")), str(script)).collect()} == {"audio"}
+    parts = [(r.part, r.name) for r in commands.status(files).collect()]
+    assert {n for p, n in parts if p == "folder"} == {"(root)", "Show A", "Show B"} and ("tool", "fpcalc") in parts and ("state", "confirmed") in parts
 
 
 def test_removal_plan_and_progress(spark):
@@ -198,3 +203,90 @@ def test_stream_matches_new_files(spark, tmp_path):
     prints.write.parquet(str(tmp_path / "in"))
     watch_fingerprints(spark, str(tmp_path / "in"), c.patterns, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [(r.pattern_id, r.file_path) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "n")]
+    # the same file again, and a new one: only the new one has a place that no clip marks
+    catalog(spark, prints=[("n", prints.filter("file_path = 'n'").first()["items"]), ("o", fuzz(rng, ad))]).fingerprints.write.mode("append").parquet(str(tmp_path / "in"))
+    watch_fingerprints(spark, str(tmp_path / "in"), c.patterns, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r.file_path for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["n", "o"]
+
+
+def plain_apart(rows, stored):
+    """Clips added one after another: none within a second of one that is there."""
+    there, out = list(stored), []
+    for r in sorted(rows):
+        if not any(r[:2] == x[:2] and abs(r[2] - x[2]) < 1.0 for x in there):
+            there.append(r)
+            out.append(r)
+    return sorted(out)
+
+
+def test_clips_are_added_one_after_another(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(3), rng.choice("ab"), round(rng.uniform(0, 12), 1), 20.0) for _ in range(90)]
+    stored = [(rng.randrange(3), rng.choice("ab"), round(rng.uniform(0, 12), 1)) for _ in range(6)]
+    schema = "pattern_id long, file_path string, start double, end double"
+    got = cat.new_clips(spark.createDataFrame(rows, schema), spark.createDataFrame(stored, "pattern_id long, file_path string, start double"))
+    assert got.columns == ["pattern_id", "file_path", "start", "end"] and sorted(map(tuple, got.collect())) == plain_apart(rows, stored)
+    ad = noise(rng, 6)  # 0.74 s, twice in a row: the second starts too close to the first
+    c = catalog(spark, [("confirmed", ad)], prints=[("a", noise(rng, 40) + ad + ad + noise(rng, 40))])
+    after, added = reconcile.apply_known(c, P, 1.0, c.patterns.select("id"))
+    assert [round(r.start, 2) for r in added.collect()] == [round(40 * SEC, 2)] and after.patterns.first().shows == 2
+
+
+def test_numbers_follow_one_order_over_all_partitions(spark):
+    c = catalog(spark, [("pending", [1])] * 3)
+    rows = spark.range(0, 500, 1, 7).select(F.lit(1).cast("long").alias("pattern_id"), F.concat(F.lit("f"), (F.col("id") * 37 % 500).cast("string")).alias("file_path"), (F.col("id") % 9).cast("double").alias("start"), F.lit(20.0).alias("end"))
+    clips = cat.add_clips(cat.add_clips(c, rows.limit(0), 1.0), rows, 1.0, ("start", "file_path")).clips.orderBy("id").collect()
+    assert [r.id for r in clips] == list(range(1, 501)) and clips == sorted(clips, key=lambda r: (r.start, r.file_path))
+
+
+def test_leaders_are_those_of_one_walk(spark):
+    rng = random.Random(15)
+    segments = [(f, k, k) for f in "ab" for k in range(60)]
+    among = [(f, a, b) for f in "ab" for a in range(60) for b in range(a) if rng.random() < 0.06]
+    known = [(f, k, p) for f in "ab" for k in range(60) for p in (7, 9) if rng.random() < 0.1]
+    want = set()
+    for f in "ab":
+        leads = []
+        for k in range(60):
+            first = [p for g, s, p in known if (g, s) == (f, k)]
+            fits = [b for b in leads if (f, k, b) in among]
+            want.add((f, k, min(first), True) if first else (f, k, min(fits), False) if fits else (f, k, k, False))
+            if not first and not fits:
+                leads.append(k)
+    make = lambda rows, names: spark.createDataFrame(rows, f"folder string, {names}")
+    found = reconcile.assign_leaders(make(segments, "segment long, idx long"), make(known, "segment long, pattern long"), make(among, "segment long, earlier long"))
+    assert {tuple(r) for r in found.collect()} == want and found.count() == 120
+
+
+def test_adjust_reset_relocate_and_remove(spark):
+    rng = random.Random(16)
+    ad = noise(rng, 300)
+    at = lambda s, e: (s * SEC, e * SEC)
+    prints = [("x/a.mp3", noise(rng, 100) + ad + noise(rng, 50)), ("x/b.mp3", noise(rng, 40) + fuzz(rng, ad)), ("x/d.mp3", noise(rng, 400))]
+    c = catalog(spark, [("confirmed", ad)], [(1, "x/a.mp3", *at(100, 400)), (1, "x/d.mp3", *at(0, 200))], prints)
+    for bad in ((5.0, 5.1), (3.0, 1.0), (-9.0, 0.1)):
+        with pytest.raises(ValueError):
+            commands.adjust(c, 1, *bad)
+    with pytest.raises(LookupError):
+        commands.adjust(c, 9, 0.0, 1.0)
+    moved = commands.adjust(c, 1, -1.0, 20.0)
+    row = moved.clips.filter("id = 1").first()
+    assert (row.start, row.end) == (0.0, 20.0)
+    row = commands.reset(moved, 1).clips.filter("id = 1").first()
+    assert (round(row.start, 2), round(row.end, 2)) == (12.38, 49.52)
+    near = commands.relocate(c, 1, P, 2.0, 100 * SEC + 0.5, 400 * SEC)  # hardly cropped: nothing leaves the group
+    assert [x[1] for x in spans(near)] == ["x/a.mp3", "x/b.mp3", "x/d.mp3"] and near.patterns.count() == 1
+    far = commands.relocate(c, 1, P, 2.0, 100 * SEC, 380 * SEC)
+    assert [(p, f) for p, f, _, _ in spans(far)] == [(1, "x/a.mp3"), (1, "x/b.mp3"), (2, "x/d.mp3")]
+    files = spark.createDataFrame([("x/a.mp3", "audio", 60.0), ("x/d.mp3", "audio", 0.0)], "file_path string, kind string, duration double")
+    done, plan = commands.remove(c, files, "out", 3.0)
+    assert [(r.file_path, r.output_path, [tuple(x) for x in r.removed], round(r.saved_sec, 2)) for r in done.processed.collect()] == [("x/a.mp3", "out/a.mp3", [(12.38, 49.52)], 37.14)]
+    assert {r.file_path: r.error is None for r in plan.collect()} == {"x/a.mp3": True, "x/d.mp3": False}
+    flags = cat.known_files(done, files).collect()
+    assert {r.file_path: (r.has_fingerprint, r.is_processed) for r in flags} == {"x/a.mp3": (True, True), "x/d.mp3": (True, False)}
+    assert [r.id for r in cat.processed_latest(cat.add_processed(done, done.processed.select("file_path", "output_path", "removed", "saved_sec"), 4.0).processed).collect()] == [2, 1]
+    assert [r.id for r in cat.clips_of(c.clips, 1).collect()] == [2, 1]
+    assert [r.status for r in cat.ordered_for_review(catalog(spark, [("dismissed", [1]), ("pending", [1]), ("confirmed", [1])]).patterns).collect()] == ["pending", "confirmed", "dismissed"]
+    seen = cat.set_preview(c, spark.createDataFrame([(1, "p.mp3")], "id long, preview string"))
+    assert [r.preview for r in seen.clips.orderBy("id").collect()] == ["p.mp3", None]
+    assert {(r.id, r.seek, r.seconds) for r in removal.preview_plan(spark.createDataFrame([(1, "a", -1.0, 3.0), (2, "a", 4.0, 4.1)], "id long, file_path string, start double, end double")).collect()} == {(1, 0.0, 4.0), (2, 4.0, 0.2)}
