@@ -20,7 +20,12 @@ sends two, the others go to the second step directly, spread by their windows.
 Keys are 128 bits of hash. Defined results: a null text has no words; fewer words than a
 window repeat nothing; rows that repeat id and text are one document and share its result;
 a row without id counts as before all others; rows that lack an id, or share one, with
-different texts are different documents, in the order of a hash of their texts.
+different texts are different documents, in the order of a hash of their texts; ids that are
+no integers are in the order of a hash. An empty table gives an empty result. Columns named
+like an output are replaced, others pass through, whatever their names.
+
+Equal means equal in 128 bits of hash over the words: texts aren't compared again, as a chance
+meeting is out of reach (10^13 windows give one in 10^12).
 """
 
 from __future__ import annotations
@@ -247,12 +252,18 @@ def _resolved(rows: DataFrame) -> DataFrame:
 
 
 def _identity(df: DataFrame, id_col: str, text: str) -> tuple[Column, Column]:
-    """(doc, salt) of a row: its id, and a hash of its text where the id alone doesn't tell (even; odd without id)."""
-    ident, digest = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    """(doc, salt) of a row: its id, and a hash of its text where the id alone doesn't tell (even; odd without id).
+
+    An id that is no integer stands as a hash of it, and its row is told apart by its text always.
+    """
+    raw, digest = F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    ident = raw.try_cast("long")
+    odd = raw.isNotNull() & ident.isNull()
     by_id = df.select(ident.alias("doc"), digest.alias("h")).filter("doc IS NOT NULL").groupBy("doc").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     shared = bool(by_id.filter("lo <> hi").limit(1).count())
-    even = digest.bitwiseAND(F.lit(-2)) if shared else F.lit(0).cast("long")
-    return F.coalesce(ident, F.lit(_NO_ID)), F.when(ident.isNull(), digest.bitwiseOR(F.lit(1).cast("long"))).otherwise(even)
+    even = digest.bitwiseAND(F.lit(-2)) if shared else F.when(odd, digest.bitwiseAND(F.lit(-2))).otherwise(F.lit(0).cast("long"))
+    doc = F.coalesce(ident, F.when(odd, F.xxhash64(raw.cast("string"))), F.lit(_NO_ID))
+    return doc, F.when(raw.isNull(), digest.bitwiseOR(F.lit(1).cast("long"))).otherwise(even)
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, seed: int = 8, many: int = MANY_STRETCHES) -> DataFrame:
@@ -299,7 +310,9 @@ def _kept(text: Column, spans: Column, window: int) -> Column:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20, seed: int = 8, many: int = MANY_STRETCHES) -> DataFrame:
     """``df`` with n_words, n_removed and kept: its words without those of repeats, joined by one blank."""
     doc, salt = _identity(df, id_col, text)
-    spans = _repeats(df.select(doc.alias("doc"), salt.alias("salt"), F.col(f"`{text}`").alias("text")), window, seed, many)
-    spans = spans.select(F.col("doc").alias("_doc"), F.col("salt").alias("_salt"), F.col("spans").alias("_spans"))
-    joined = df.withColumns({"_at": doc, "_of": salt}).join(spans, (F.col("_at") == F.col("_doc")) & (F.col("_of") == F.col("_salt")), "left")
-    return joined.withColumn("_kept", _kept(F.col(f"`{text}`"), F.col("_spans"), window)).withColumns({c: F.col(f"_kept.{c}") for c in ("n_words", "n_removed", "kept")}).drop("_at", "_of", "_doc", "_salt", "_spans", "_kept")
+    outputs = ("n_words", "n_removed", "kept")
+    own = [c for c in df.columns if c not in outputs]
+    docs = df.select(doc.alias("doc"), salt.alias("salt"), F.col(f"`{text}`").alias("text"))
+    rows = df.select(doc.alias("doc"), salt.alias("salt"), F.col(f"`{text}`").alias("text"), F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own) if c != text)).alias("row"))
+    joined = rows.join(_repeats(docs, window, seed, many), ["doc", "salt"], "left").withColumn("out", _kept(F.col("text"), F.col("spans"), window))
+    return joined.select(*((F.col("text") if c == text else F.col(f"row.c{k}")).alias(c) for k, c in enumerate(own)), *(F.col(f"out.{c}").alias(c) for c in outputs))

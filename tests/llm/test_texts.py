@@ -324,6 +324,19 @@ def test_substring_dedup_of_rows_without_or_with_shared_ids(spark, many):
         assert (r.n_words, r.n_removed, r.kept) == by_text[r.doc_id, r.text], r
 
 
+def test_substring_dedup_of_string_ids_and_clashing_columns(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [("x1", passage, 1, 2), ("x2", "a " + passage + " b", 3, 4), (None, None, 5, 6), ("x2", "a " + passage + " b", 7, 8), ("x9", "", 9, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _doc int, spans int")
+    found = substring_dedup.remove_repeats(df)
+    assert found.columns == ["doc_id", "text", "_doc", "spans", "n_words", "n_removed", "kept"]
+    got = {(r._doc, r.spans): (r.doc_id, r.text, r.n_words) for r in found.collect()}
+    assert got == {(r[2], r[3]): (r[0], r[1], len((r[1] or "").split())) for r in rows}
+    removed = {r._doc: r.n_removed for r in found.collect()}
+    assert removed[3] == removed[7] and {removed[1], removed[3]} == {0, 30} and removed[5] == removed[9] == 0
+    assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
 def test_rolling_hash_sizes():
     x = np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64)
     for size in (1, 2, 3, 5, 8, 13, 20):
