@@ -27,18 +27,17 @@ def runs(covered: DataFrame, by: Sequence[str], min_len: Column | int, max_gap:
 
 
 def run_arrays(positions: Column, min_len: Column, max_gap: Column, min_density: float) -> Column:
-    """``runs`` of one sorted array of positions, without a shuffle: array of (start, end, n)."""
-    none = F.array().cast("array<struct<start:int,end:int,n:int>>")
-    fresh = lambda p: F.struct(p.alias("start"), (p + 1).alias("end"), F.lit(1).alias("n"))
-
-    def step(found: Column, p: Column) -> Column:
-        last = F.get(found, F.size(found) - 1)
-        longer = F.struct(last["start"].alias("start"), (p + 1).alias("end"), (last["n"] + 1).alias("n"))
-        bridged = F.coalesce(p - last["end"] <= max_gap, F.lit(False))
-        return F.when(bridged, F.concat(F.slice(found, 1, F.size(found) - 1), F.array(longer))).otherwise(F.concat(found, F.array(fresh(p))))
-
-    kept = lambda r: (r["end"] - r["start"] >= min_len) & (r["n"] / (r["end"] - r["start"]) >= min_density)
-    return F.filter(F.aggregate(positions, none, step), kept)
+    """``runs`` of one sorted array of positions, without a shuffle: array of (start, end, n).
+
+    A run opens where the position before is too far and closes where the next one is, so
+    neighbours are compared once each.
+    """
+    placed = F.transform(positions, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    far = lambda later, earlier: F.coalesce(later - earlier - 1 > max_gap, F.lit(True))
+    opens = F.filter(placed, lambda x: far(x["p"], F.get(positions, x["i"] - 1)))
+    closes = F.filter(placed, lambda x: far(F.get(positions, x["i"] + 1), x["p"]))
+    found = F.zip_with(opens, closes, lambda o, c: F.struct(o["p"].alias("start"), (c["p"] + 1).alias("end"), (c["i"] - o["i"] + 1).alias("n")))
+    return F.filter(found, lambda r: (r["end"] - r["start"] >= min_len) & (r["n"] / (r["end"] - r["start"]) >= min_density))
 
 
 def merge(ranges: DataFrame, by: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:

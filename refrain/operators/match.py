@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from refrain.functions.bits import items_match, seed_key
 from refrain.operators.intervals import merge, run_arrays, runs
 from refrain.plans.params import MARGIN, DetectParams
+from refrain.sources.shared import materialize
 
 SCOPE = ("folder", "bits")
+#: Items of one key that a task takes of the side whose buckets have no cap.
+HOT = 1 << 17
 
 
 def exploded(streams: DataFrame, name: str, scope: Sequence[str] = SCOPE, extra: Sequence[str] = ()) -> DataFrame:
@@ -37,15 +40,24 @@ def votes(a: DataFrame, b: DataFrame, params: DetectParams, scope: Sequence[str]
     b's buckets of over ``seed_max_bucket`` items don't vote. ``where`` tells which streams meet: a
     condition built from two functions, which give a's and b's columns of those named in
     ``extra``. Both sides are placed by scope and key once: the bucket sizes are counted where the
-    join finds them.
+    join finds them. A key with over ``HOT`` of a's items has several places: a's items are dealt
+    to them, and each has a copy of b's.
     """
     place = [*scope, "key"]
 
     def side(streams: DataFrame, name: str) -> DataFrame:
-        return exploded(streams, name, scope, extra).withColumnsRenamed({c: f"{name}_{c}" for c in ("pos", *extra)}).repartition(*place)
-
-    right = side(b, "b").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*place, "b"))).filter(F.col("_n") <= params.seed_max_bucket).drop("_n")
-    met = side(a, "a").join(right, place)
+        return exploded(streams, name, scope, extra).withColumnsRenamed({c: f"{name}_{c}" for c in ("pos", *extra)})
+
+    left, right = side(a, "a"), side(b, "b")
+    parts = F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("_parts")
+    hot = materialize(exploded(a, "a", scope).groupBy(*place).agg(parts).filter("_parts > 1"), "hot-keys")
+    if not hot.isEmpty():
+        # how many keys are hot is known by now, so the table's size decides how it is joined
+        left = left.join(hot, place, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("a", "a_pos"), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+        right = right.join(hot, place, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        place.append("_part")
+    right = right.repartition(*place).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*place, "b"))).filter(F.col("_n") <= params.seed_max_bucket).drop("_n")
+    met = left.repartition(*place).join(right, place)
     if where is not None:
         met = met.filter(where(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
     return met.groupBy(*scope, "a", "b", (F.col("b_pos") - F.col("a_pos")).alias("off")).agg(F.count(F.lit(1)).alias("votes"), F.min("a_pos").alias("lo"), F.max("a_pos").alias("hi"))

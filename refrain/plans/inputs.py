@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions.bits import shingle_items
 from refrain.plans.params import DetectParams
-from refrain.sources.shared import materialize
+from refrain.sources.shared import materialize, spread
 
 #: One item is one shingle and lasts a second: segments of ten shingles and more, gaps of one.
 TEXT_PARAMS = DetectParams(min_seconds=10.0, max_gap_seconds=1.0)
@@ -18,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _streams(df: DataFrame, folder: str | None, file: str) -> DataFrame:
-    scope = [F.col(folder).alias("folder")] if folder else []
-    found = df.select(*scope, F.col(file).alias("file"), F.col(file).alias("idx"), F.lit(32).alias("bits"), F.lit(1.0).alias("item_sec"), shingle_items(F.coalesce("text", F.lit(""))).alias("items"))
+    scope = ["folder"] if folder else []
+    texts = spread(df.select(*([F.col(folder).alias("folder")] if folder else []), F.col(file).alias("file"), "text"))
+    found = texts.select(*scope, "file", F.col("file").alias("idx"), F.lit(32).alias("bits"), F.lit(1.0).alias("item_sec"), shingle_items(F.coalesce("text", F.lit(""))).alias("items"))
     # a stored stream, like any fingerprint: hashed once, read as often as the matcher needs it
     return materialize(found.filter(F.size("items") > 0), "streams")
 

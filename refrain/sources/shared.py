@@ -37,6 +37,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read; where its scan has fewer tasks than there are cores, its rows are dealt to twice as many.
+
+    For scans in front of costly functions: a file of one row group is one task, whatever its
+    size. So few tasks are a small table, and a large one is left where it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def discard(*stored: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing that is still to run reads it."""
     for df in stored:

@@ -1,6 +1,7 @@
 """Bits, intervals and the matcher, on small streams and against plain Python."""
 
 import random
+from collections import Counter
 from itertools import accumulate
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from refrain.functions import bits, media
 from refrain.operators import intervals, match
 from refrain.plans.params import DetectParams
+from refrain.sources.shared import spread
 
 STREAM = "folder string, file string, idx int, bits int, item_sec double, items array<long>"
 
@@ -150,6 +152,30 @@ def test_bucket_cap_is_of_the_second_side(spark):
         assert match.votes(many, few, p).count() > 0
 
 
+def test_hot_keys_vote_alike_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    key = lambda k: (k << 16) + rng.getrandbits(16)
+    files = [(str(f), [key(rng.choice((1, 1, 1, 2, 3, rng.randrange(4, 60)))) for _ in range(90)]) for f in range(4)]
+    found, p = streams(spark, files), DetectParams(seed_max_bucket=46)
+    plain = Counter()
+    for a, xs in files:
+        for b, ys in files:
+            seen = Counter(y >> 16 for y in ys)
+            plain.update((a, b, j - i) for i, x in enumerate(xs) for j, y in enumerate(ys) if x >> 16 == y >> 16 and a < b and seen[y >> 16] <= 46)
+    for most in (match.HOT, 7):
+        monkeypatch.setattr(match, "HOT", most)
+        votes = match.votes(found, found, p, extra=["idx"], where=lambda a, b: a("idx") < b("idx"))
+        assert {(r.a, r.b, r.off): r.votes for r in votes.collect()} == plain
+
+
+def test_few_tasks_are_spread(spark):
+    one = spark.range(100).repartition(1)
+    assert spread(one).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in spread(one).collect()) == list(range(100))
+    many = spark.range(0, 100, 1, 9)
+    assert spread(many) is many
+
+
 def test_recurring_segments(spark):
     rng = random.Random(2)
     shared = noise(rng, 80)
