@@ -22,7 +22,8 @@ def _streams(df: DataFrame, folder: str | None, file: str) -> DataFrame:
     texts = spread(df.select(*([F.col(folder).alias("folder")] if folder else []), F.col(file).alias("file"), "text"))
     found = texts.select(*scope, "file", F.col("file").alias("idx"), F.lit(32).alias("bits"), F.lit(1.0).alias("item_sec"), shingle_items(F.coalesce("text", F.lit(""))).alias("items"))
     # a stored stream, like any fingerprint: hashed once, read as often as the matcher needs it
-    return materialize(found.filter(F.size("items") > 0), "streams")
+    # and filtered afterwards: before, the optimizer would hash once more to filter, and that in the scan's few tasks
+    return materialize(found, "streams").filter(F.size("items") > 0)
 
 
 def document_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
