@@ -9,24 +9,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.llm import decontaminate, exact_dedup, html_extract, labelled, packing, quality, simhash, substring_dedup, token_counts, toxicity, url_filter
+from refrain.sources.shared import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and whole texts of documents, for operators that work on them in Python."""
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_extract.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = html_extract.extract_text(spread(_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, bits=2)
+    found = simhash.near_duplicates(_texts(spark, sf_dir), size=3, bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -47,14 +53,14 @@ def _scores(scored: DataFrame, score: str, held_out: Column, threshold: float) -
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     held_out = labelled.fold(F.col("doc_id"), 3) == 1
     model = toxicity.ToxicityModel(labelled.draw(docs, _table(spark, sf_dir, "labels"), "toxic", ~held_out))
     return _scores(toxicity.score_toxicity(docs, model), "toxicity.score", held_out, 0.7)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     held_out = labelled.fold(F.col("doc_id"), 5) == 0
     model = quality.QualityModel(labelled.draw(docs, _table(spark, sf_dir, "labels"), "quality", ~held_out))
     return _scores(quality.score_quality(docs, model), "quality", held_out, 0.3)
@@ -72,7 +78,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     found = substring_dedup.remove_repeats(docs, window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -94,7 +100,7 @@ FROM d LEFT JOIN kept k USING (doc_id)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     found = decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
@@ -122,7 +128,7 @@ FROM d LEFT JOIN n_hit h USING (doc_id) LEFT JOIN items t USING (doc_id)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
