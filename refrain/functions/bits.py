@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,11 +76,18 @@ def trimmed(items: Column, head: Column, tail: Column) -> Column:
 
 
 def shingle_items(text: Column, size: int = 3) -> Column:
-    """A text as a stream: one 32-bit hash per ``size`` consecutive blank-separated words."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    grams = words
-    for k in range(1, size):  # beyond the last word there is none, and so no gram
-        later = F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1)))
-        grams = F.zip_with(grams, later, lambda g, w: F.concat(g, F.lit(" "), w))
-    grams = F.filter(grams, lambda g: g.isNotNull())
-    return F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"))
+    """A text as a stream: one 32-bit hash, the beginning of its MD5, per ``size`` consecutive blank-separated words."""
+
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for t in texts.to_pylist():
+                words = [] if t is None else [w for w in t.split(b" ") if w]
+                grams = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
+                out.append(b"".join([md5(g, usedforsecurity=False).digest()[:4] for g in grams]))
+            values = pa.array(np.frombuffer(b"".join(out), ">u4").astype(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(o) // 4 for o in out])]).astype(np.int32)
+            absent = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
+            yield pa.ListArray.from_arrays(pa.array(ends, mask=absent), values)
+
+    return F.arrow_udf(hashed, "array<bigint>")(text.cast("binary"))

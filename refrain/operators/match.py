@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refrain.functions.bits import items_match, seed_key
-from refrain.operators.intervals import merge, run_arrays, runs
-from refrain.plans.params import MARGIN, DetectParams
+from refrain.operators.blocks import meet
+from refrain.operators.intervals import merge, runs
+from refrain.plans.params import DetectParams
 from refrain.sources.shared import materialize
 
 SCOPE = ("folder", "bits")
@@ -118,32 +119,39 @@ def pair_runs(streams: DataFrame, params: DetectParams, scope: Sequence[str] = S
     """(scope, a, b, off, start, end): verified runs of each pair of streams, in a's positions.
 
     The stream with the smaller ``idx`` is a, and gives the least length and the largest gap.
+    Votes are counted and alignments verified block by block, where the streams' items are.
     """
-    cands = candidate_offsets(votes(streams, streams, params, scope, ["idx"], lambda a, b: a("idx") < b("idx")), params, scope)
-    found = aligned(cands, streams, streams, scope, MARGIN, ["item_sec"])
-    found = found.withColumn("_least", params.min_items(F.col("item_sec"))).filter(F.size("xs") >= F.col("_least"))
-    run = run_arrays(F.col("positions"), F.col("_least"), params.max_gap_items(F.col("item_sec")), params.min_density)
-    # a run has at least its least length times the density of covered items: most chance alignments end here
-    found = found.withColumn("positions", covered_positions(params)).filter(F.size("positions") >= F.col("_least") * params.min_density)
-    found = found.withColumn("_run", F.explode(run))
-    return found.select(*scope, "a", "b", "off", F.col("_run.start").alias("start"), F.col("_run.end").alias("end"))
+    return meet(streams, None, params, scope, result="runs")
 
 
 def recurrence_counts(found: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """(scope, file, pos, n): with how many other streams each position lies in a run, from ``pair_runs``.
 
-    Runs of a pair are merged first, so a position counts once per pair and no row is
-    made only to be found a duplicate.
+    Runs of a pair are merged first, so a position counts once per pair. They are placed by
+    their file once; merging and counting are done there.
     """
     a = found.select(*scope, F.col("a").alias("file"), F.col("b").alias("peer"), "start", "end")
     b = found.select(*scope, F.col("b").alias("file"), F.col("a").alias("peer"), (F.col("start") + F.col("off")).alias("start"), (F.col("end") + F.col("off")).alias("end"))
-    merged = merge(a.union(b), [*scope, "file", "peer"])
+    merged = merge(a.union(b).repartition(*scope, "file"), [*scope, "file", "peer"])
     return merged.select(*scope, "file", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).groupBy(*scope, "file", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
+def shows(streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """(scope, file, pos, n): ``recurrence_counts`` of the streams' ``pair_runs``, whose number grows with the square of a group of streams.
+
+    They are counted where they are found; only each stream's steps in its counts are shuffled.
+    """
+    place = [*scope, "file"]
+    steps = meet(streams, None, params, scope, result="shows").repartition(*place)
+    steps = steps.select(*place, F.explode(F.arrays_zip("at", "step")).alias("_s")).groupBy(*place, F.col("_s.at").alias("pos")).agg(F.sum("_s.step").alias("step"))
+    w = Window.partitionBy(*place).orderBy("pos")
+    counts = steps.withColumns({"n": F.sum("step").over(w), "_next": F.lead("pos").over(w)}).join(streams.select(*place, F.size("items").alias("_size")), place)
+    return counts.filter("n > 0").select(*place, F.explode(F.sequence("pos", F.coalesce("_next", "_size") - 1)).alias("pos"), "n")
+
+
 def recurring_segments(streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE) -> DataFrame:
     """(scope, file, start, end, start_sec, end_sec, n): stretches present in at least ``min_shows`` streams."""
-    counts = recurrence_counts(pair_runs(streams, params, scope), scope).filter(F.col("n") >= params.min_shows - 1).drop("n")
+    counts = shows(streams, params, scope).filter(F.col("n") >= params.min_shows - 1).drop("n")
     timed = counts.join(streams.select(*scope, "file", "item_sec"), [*scope, "file"])
     sec = F.col("item_sec")
     by = [*scope, "file", "item_sec"]
@@ -154,7 +162,10 @@ def recurring_segments(streams: DataFrame, params: DetectParams, scope: Sequence
 
 def alignments(patterns: DataFrame, streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE, extra: Sequence[str] = (), where: Callable | None = None) -> DataFrame:
     """(scope, a, b, off, turn, n, na, ratio, start, end): patterns (a) at each candidate alignment with streams (b) that ``where`` lets meet."""
-    covers = coverage_at(candidate_offsets(votes(patterns, streams, params, scope, extra, where), params, scope), patterns, streams, params, scope)
+    voted = meet(patterns, streams, params, scope, extra)
+    if where is not None:
+        voted = voted.filter(where(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).drop(*(f"{s}_{c}" for s in "ab" for c in extra))
+    covers = coverage_at(candidate_offsets(voted, params, scope), patterns, streams, params, scope)
     p = F.col("positions")
     hit = covers.withColumn("n", F.size(p)).filter("n > 0")
     return hit.select(

@@ -107,7 +107,7 @@ def pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def recurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.recurrence_counts(match.pair_runs(document_streams(spark, sf_dir), TEXT_PARAMS)).drop("bits")
+    return match.shows(document_streams(spark, sf_dir), TEXT_PARAMS).drop("bits")
 
 
 @query
