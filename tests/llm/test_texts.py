@@ -6,10 +6,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -594,3 +596,33 @@ def test_fold_is_zlib_crc32(spark):
     got = spark.range(50).select("id", fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_members_alike_but_not_similar_leave_their_bucket_once():
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**63, 700, np.uint64)
+    least = Fraction(4, 5)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 90, np.uint64)])) for _ in range(30)]  # 0.8 and less
+    sets += [np.unique(np.append(sets[0][:-5], rng.integers(0, 2**63, 3, np.uint64)))]  # similar to the first
+    rows = [(7, i, i, len(s), near_copies.sketch(near_copies.signature(s))) for i, s in enumerate(sets)]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["key", "entry", "root", "n", "sketch"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    halves = [batch.slice(0, 11), batch.slice(11)]
+    near = pa.Table.from_batches(near_copies._across(least)(iter(halves)))
+    assert len(near) <= len(sets) and {0, 30} <= set(near.column("entry").to_pylist())
+    kept = near.append_column("set", pa.array([sets[i].tobytes() for i in near.column("entry").to_pylist()], pa.binary())).combine_chunks()
+    links = pa.Table.from_batches(near_copies._joined(least)(iter(kept.to_batches()))).to_pylist()
+    wanted = {i: i for i in range(len(sets))}
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both * 5 >= (len(sets[i]) + len(sets[j]) - both) * 4:
+                old, new = wanted[i], wanted[j]
+                wanted = {k: new if v == old else v for k, v in wanted.items()}
+    found = {i: i for i in range(len(sets))}
+    for link in links:
+        old, new = found[link["a"]], found[link["b"]]
+        found = {k: new if v == old else v for k, v in found.items()}
+    groups = lambda of: sorted(sorted(k for k in of if of[k] == v) for v in set(of.values()))
+    assert groups(found) == groups(wanted) and len(links) == len(sets) - len(groups(wanted)) and found[30] == found[0]
