@@ -211,7 +211,7 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _met(params: DetectParams, scope: Sequence[str], extra: Sequence[str], ordered: bool, result: str, schema: pa.Schema):  # noqa: ANN202
-    """Of rows (scope, _block, _part, _probe, _order, file, extra, _least, _gap, _err, _wide, _items), sorted by the first five."""
+    """Of rows (scope, _block, _part, _probe, _order, _a, _b, extra, _least, _gap, _err, _wide, _items), sorted by the first five."""
     place = [*scope, "_block", "_part"]
 
     def told(index: _Index, rows: pa.Table, k: int, items: np.ndarray, done: np.ndarray | None) -> pa.Table | None:
@@ -229,13 +229,13 @@ def _met(params: DetectParams, scope: Sequence[str], extra: Sequence[str], order
             steps = index.show(found, len(items), None if done is None else k)
             return None if steps is None else shows(rows, k, steps)
         at = pa.array(found[0])
-        cols = [pa.repeat(rows.column(c)[k], n) for c in (*scope, "file")] + [index.rows.column("file").take(at)]
+        cols = [pa.repeat(rows.column(c)[k], n) for c in (*scope, "_a")] + [index.rows.column("_b").take(at)]
         cols += [pa.repeat(rows.column(c)[k], n) for c in extra] + [index.rows.column(c).take(at) for c in extra]
         return pa.table([*cols, *map(pa.array, found[1:])], names=schema.names).cast(schema)
 
     def shows(rows: pa.Table, k: int, steps: np.ndarray) -> pa.Table:
         at = np.flatnonzero(steps)
-        cols = [pa.repeat(rows.column(c)[k], 1) for c in (*scope, "file")]
+        cols = [pa.repeat(rows.column(c)[k], 1) for c in (*scope, "_a")]
         return pa.table([*cols, pa.array([at]), pa.array([steps[at]])], names=schema.names).cast(schema)
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table | None]:
@@ -311,11 +311,16 @@ def meet(a: DataFrame, b: DataFrame | None, params: DetectParams, scope: Sequenc
     indexed = a if ordered else b
     order = F.col("idx") if ordered else F.xxhash64("file")
 
+    def files(probe: bool) -> list:
+        """A stream's name as one of a and as one of b, which may be of different types."""
+        absent = lambda df: F.lit(None).cast(df.schema["file"].dataType)
+        return [(F.col("file") if x else absent(df)).alias(n) for x, df, n in ((probe or ordered, a, "_a"), (not probe, indexed, "_b"))]
+
     def side(streams: DataFrame, probe: bool) -> DataFrame:
         known = streams.filter(F.col("file").isNotNull() & order.isNotNull() & (F.size("items") > 0))
         dials = [params.min_items(F.col("item_sec")), params.max_gap_items(F.col("item_sec"))] if result != "votes" else [F.lit(0), F.lit(0)]
         dials = [c.cast("int").alias(n) for c, n in zip((*dials, params.bit_err(F.col("bits"))), ("_least", "_gap", "_err"), strict=True)]
-        return known.select(*scope, order.alias("_order"), F.lit(probe).alias("_probe"), "file", *extra, *dials, (F.col("bits") == 64).alias("_wide"), F.col("items"), F.col("bits").alias("_bits"))
+        return known.select(*scope, order.alias("_order"), F.lit(probe).alias("_probe"), *files(probe), *extra, *dials, (F.col("bits") == 64).alias("_wide"), F.col("items"), F.col("bits").alias("_bits"))
 
     # a block is a stretch of the order; told by its beginnings, which are few
     before = Window.partitionBy(*scope).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -334,7 +339,7 @@ def meet(a: DataFrame, b: DataFrame | None, params: DetectParams, scope: Sequenc
         asked = asked.withColumn("_part", F.floor(F.col("_home") / PROBES).cast("int"))
     else:
         told, asked = (x.withColumn("_part", F.lit(0)) for x in (told, asked))
-    columns = [*scope, "_block", "_part", "_probe", "_order", "file", *extra, "_least", "_gap", "_err", "_wide", "items", "_bits"]
+    columns = [*scope, "_block", "_part", "_probe", "_order", "_a", "_b", *extra, "_least", "_gap", "_err", "_wide", "items", "_bits"]
     both = told.select(*columns).union(asked.select(*columns)).withColumn("_items", F.arrow_udf(_packed, "binary")("items", "_bits")).drop("items", "_bits")
     dealt = both.repartition(*scope, "_block", "_part").sortWithinPartitions(*scope, "_block", "_part", "_probe", "_order")
     own, theirs = a.schema, indexed.schema
