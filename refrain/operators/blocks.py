@@ -5,18 +5,21 @@ of a scope's items: as rows they would be far more than the streams. Here b's st
 dealt to blocks of some ``BLOCK`` items and a's go to each block that they may meet; a task
 indexes its block by key, counts a stream's votes in memory and returns what is strong. A
 vote is never a row, and what is shuffled are packed streams: one copy of b and, of a, one for
-each block.
+each block. Where only counts are asked for, blocks meet in rounds, so that the copies that
+are on disk at one time don't grow with the number of blocks.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -28,6 +31,9 @@ from refrain.sources.shared import materialize
 BLOCK = 1 << 24
 PROBES = 2
 FULL = 128
+#: Copies of all items that a round may shuffle, and items that it may in any case.
+SHARE = 1.5
+ROUND = 1 << 24
 #: Votes and items that are looked at together, rows of a batch that is returned.
 AT_ONCE = 1 << 22
 ROWS = 1 << 14
@@ -300,6 +306,13 @@ def _met(params: DetectParams, scope: Sequence[str], extra: Sequence[str], order
     return met
 
 
+def _copied(block: Column) -> Column:
+    """Copies of a block's size that all blocks before ``block`` take, where streams meet each other."""
+    before = F.greatest(block - 1, F.lit(0))
+    q = F.floor(before / PROBES)
+    return block * (block + 1) / 2 + PROBES * q * (q - 1) / 2 + (before - q * PROBES) * q
+
+
 def meet(a: DataFrame, b: DataFrame | None, params: DetectParams, scope: Sequence[str], extra: Sequence[str] = (), result: str = "votes") -> DataFrame:
     """(scope, a, b, a_extra, b_extra, off, votes, lo, hi): the strong alignments, those of ``match.votes`` that ``match.candidate_offsets`` ranks.
 
@@ -325,23 +338,34 @@ def meet(a: DataFrame, b: DataFrame | None, params: DetectParams, scope: Sequenc
     # a block is a stretch of the order; told by its beginnings, which are few
     before = Window.partitionBy(*scope).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = indexed.filter(order.isNotNull() & (F.size("items") > 0)).select(*scope, order.alias("_order"), F.size("items").cast("long").alias("n"))
-    begins = sizes.withColumn("_block", F.floor((F.sum("n").over(before) - 1) / BLOCK)).groupBy(*scope, "_block").agg(F.min("_order").alias("_from"))
-    begins = begins.groupBy(*scope).agg(F.sort_array(F.collect_set("_from")).alias("_from"))
+    begins = sizes.withColumn("_block", F.floor((F.sum("n").over(before) - 1) / BLOCK)).groupBy(*scope, "_block").agg(F.min("_order").alias("_from"), F.sum("n").alias("_n"))
+    begins = begins.groupBy(*scope).agg(F.sort_array(F.collect_set("_from")).alias("_from"), F.sum("_n").alias("_n"))
     begins = materialize(begins, "blocks")  # its size decides how it is joined
 
     last = F.size("_from") - 1
     home = F.size(F.filter("_from", lambda x: x <= F.col("_order"))) - 1
-    told = side(indexed, False).join(begins, list(scope)).withColumn("_block", home)
-    asked = side(a, True).join(begins, list(scope)).withColumn("_home", home if ordered else F.lit(-1)).filter(last > F.col("_home"))
+    told = side(indexed, False).join(begins.drop("_n"), list(scope)).withColumn("_block", home)
+    asked = side(a, True).join(begins.drop("_n"), list(scope)).withColumn("_home", home if ordered else F.lit(-1)).filter(last > F.col("_home"))
     asked = asked.withColumn("_block", F.explode(F.sequence(F.col("_home") + 1, last)))
     if ordered:  # a late block has many before it: several tasks index it, and the first its own pairs too
         told = told.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("_block") - 1) / PROBES).cast("int")))))
         asked = asked.withColumn("_part", F.floor(F.col("_home") / PROBES).cast("int"))
     else:
         told, asked = (x.withColumn("_part", F.lit(0)) for x in (told, asked))
+    rounds = 1
+    if result == "shows":
+        copied, n = begins.select((F.col("_n") * _copied(last + 1) / (last + 1)).alias("_c"), "_n").agg(F.sum("_c"), F.sum("_n")).first()
+        rounds = max(1, math.ceil((copied or 0) / max(SHARE * (n or 0), ROUND)))
+        # a scope's tasks are dealt evenly to the rounds, those of one block by their names
+        place = F.floor(rounds * (_copied(F.col("_block")) + F.col("_part") * (PROBES + 1)) / _copied(last + 1))
+        turn = F.when(last > 0, place).otherwise(F.pmod(F.xxhash64(*scope), F.lit(rounds)))
+        told, asked = (x.withColumn("_round", turn) for x in (told, asked))
     columns = [*scope, "_block", "_part", "_probe", "_order", "_a", "_b", *extra, "_least", "_gap", "_err", "_wide", "items", "_bits"]
-    both = told.select(*columns).union(asked.select(*columns)).withColumn("_items", F.arrow_udf(_packed, "binary")("items", "_bits")).drop("items", "_bits")
-    dealt = both.repartition(*scope, "_block", "_part").sortWithinPartitions(*scope, "_block", "_part", "_probe", "_order")
+
+    def dealt(which: Column) -> DataFrame:
+        both = told.filter(which).select(*columns).union(asked.filter(which).select(*columns)).withColumn("_items", F.arrow_udf(_packed, "binary")("items", "_bits")).drop("items", "_bits")
+        return both.repartition(*scope, "_block", "_part").sortWithinPartitions(*scope, "_block", "_part", "_probe", "_order")
+
     own, theirs = a.schema, indexed.schema
     fields = [StructField(c, own[c].dataType) for c in scope]
     if result == "shows":
@@ -351,4 +375,8 @@ def meet(a: DataFrame, b: DataFrame | None, params: DetectParams, scope: Sequenc
         fields += [*(StructField(f"a_{c}", own[c].dataType) for c in extra), *(StructField(f"b_{c}", theirs[c].dataType) for c in extra)]
         fields += [StructField(c, LongType() if c == "votes" else IntegerType()) for c in (("off", "start", "end") if result == "runs" else ("off", "votes", "lo", "hi"))]
     schema = StructType(fields)
-    return dealt.mapInArrow(_met(params, scope, extra, ordered, result, to_arrow_schema(schema)), schema)
+    met = _met(params, scope, extra, ordered, result, to_arrow_schema(schema))
+    if rounds == 1:
+        return dealt(F.lit(True)).mapInArrow(met, schema)
+    # what a round shuffles is gone when its results are stored
+    return reduce(DataFrame.union, [materialize(dealt(F.col("_round") == k).mapInArrow(met, schema), "round") for k in range(rounds)])

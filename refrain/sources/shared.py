@@ -27,11 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark deletes a query's shuffle files at its end; else they stay until the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back without lineage."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back without lineage.
+
+    Nothing reads its shuffles again, so they go when it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/refrain-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._refrain_path = path
     return stored
