@@ -1,12 +1,14 @@
 """Reconciliation: detections become patterns, and nested or repeated ones are resolved.
 
-Similarity, overlap and coverage are joins; leaders are found in rounds of joins. Only
+Similarity, overlap and coverage are joins; leaders are found in rounds of joins, batch by
+batch, so that segments are compared with the leaders before them and not with each other. Only
 one-to-one claims run per file in Python, over one pattern's clips and never over items.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,9 @@ from refrain.sources.shared import materialize
 #: How far lengths of one pattern differ, and the shortest clip.
 LENGTH_TOL = 0.20
 SHORTEST = 0.2
+#: Segments of a folder in the first batch that leaders are looked for in, and how much more all batches so far hold with the next.
+FIRST = 2048
+GROWTH = 8
 
 
 def pattern_streams(patterns: DataFrame) -> DataFrame:
@@ -110,6 +115,41 @@ def assign_leaders(segments: DataFrame, known: DataFrame, among: DataFrame) -> D
     return taken.join(segments.select(*key), key, "left_semi").select(*key, "leader", F.lit(True).alias("known")).union(own.union(following).withColumn("known", F.lit(False)))
 
 
+def led(segments: DataFrame, known: DataFrame, params: DetectParams) -> DataFrame:
+    """``assign_leaders`` of segments, which are stored streams with a duration, by their ``leader_edges``.
+
+    Batches are taken in the order of idx. Leaders of earlier batches come first, so a batch meets
+    those and only what fits none of them meets itself: the alignments that become rows don't
+    grow with the square of a group of alike segments.
+    """
+    key = ["folder", "segment"]
+    names = segments.select("folder", F.col("file").alias("segment"), "idx")
+    taken = known.groupBy(*key).agg(F.min("pattern").alias("leader")).join(names.select(*key), key, "left_semi")
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("idx")) - 1
+    batch = F.when(place < FIRST, 0).otherwise(F.floor(F.log(place / FIRST + 1e-9) / F.log(F.lit(GROWTH))).cast("int") + 1)
+    begins = names.withColumn("_batch", batch).groupBy("folder", "_batch").agg(F.min("idx").alias("_from")).groupBy("folder").agg(F.sort_array(F.collect_list("_from")).alias("_from"))
+    begins = materialize(begins, "batches")
+    free = segments.join(taken.select("folder", F.col("segment").alias("file")), ["folder", "file"], "left_anti").join(begins, "folder")
+    free = materialize(free.withColumn("_batch", F.size(F.filter("_from", lambda x: x <= F.col("idx"))) - 1).select("_batch", *segments.columns), "undecided")
+    none = known.select(*key, "pattern").limit(0)
+    found, leaders = [taken.select(*key, "leader", F.lit(True).alias("known"))], None
+    for k in range(begins.agg(F.max(F.size("_from"))).first()[0] or 0):
+        rest = free.filter(F.col("_batch") == k).select(*segments.columns)
+        if leaders is not None:
+            fits = leader_edges(rest, leaders, params).join(leaders.select("folder", F.col("file").alias("b"), F.col("idx").alias("_first")), ["folder", "b"])
+            first = fits.groupBy("folder", F.col("a").alias("segment")).agg(F.min(F.struct("_first", "b")).alias("f"))
+            follow = materialize(first.select(*key, F.col("f.b").alias("leader"), F.lit(False).alias("known")), "followers")
+            found.append(follow)
+            rest = materialize(rest.join(follow.select("folder", F.col("segment").alias("file")), ["folder", "file"], "left_anti").select(*segments.columns), "rest")
+        among = leader_edges(rest, rest, params, self_match=True).select("folder", F.col("a").alias("segment"), F.col("b").alias("earlier"))
+        assigned = materialize(assign_leaders(rest.select("folder", F.col("file").alias("segment"), "idx"), none, among), "assigned")
+        found.append(assigned)
+        new = assigned.filter(F.col("leader") == F.col("segment")).select("folder", F.col("segment").alias("file"))
+        new = materialize(rest.join(new, ["folder", "file"], "left_semi").select(*segments.columns), "leaders")
+        leaders = new if leaders is None else leaders.union(new)
+    return reduce(DataFrame.union, found)
+
+
 def store_segments(catalog: Catalog, found: DataFrame, params: DetectParams, library: str, now: float) -> Catalog:
     """found: folder, bits, file (path), start_sec, end_sec of this batch, in file order ``idx``. New patterns are pending.
 
@@ -121,12 +161,7 @@ def store_segments(catalog: Catalog, found: DataFrame, params: DetectParams, lib
     segs = segs.withColumn("seq", F.row_number().over(order).cast("long"))
     segs = materialize(segs.select("folder", "bits", F.col("file").alias("path"), "start_sec", "end_sec", "item_sec", "items", (F.col("end_sec") - F.col("start_sec")).alias("duration"), F.col("seq").alias("idx"), F.col("seq").alias("file")), "segments")
     known = leader_edges(segs, pattern_streams(catalog.patterns), params)
-    among = leader_edges(segs, segs, params, self_match=True)
-    leaders = assign_leaders(
-        segs.select("folder", F.col("file").alias("segment"), "idx"),
-        known.select("folder", F.col("a").alias("segment"), F.col("b").alias("pattern")),
-        among.select("folder", F.col("a").alias("segment"), F.col("b").alias("earlier")),
-    )
+    leaders = led(segs, known.select("folder", F.col("a").alias("segment"), F.col("b").alias("pattern")), params)
     placed = materialize(segs.join(leaders.withColumnRenamed("segment", "file"), ["folder", "file"]), "leaders")
     minted = placed.filter(~F.col("known") & (F.col("leader") == F.col("file")))
     order_by = ["folder", "idx"]

@@ -152,7 +152,8 @@ def slice_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(document streams, their recurring segments as streams of their own)."""
     docs = document_streams(spark, sf_dir)
-    found = match.recurring_segments(docs, TEXT_PARAMS).join(docs.select("folder", "bits", "file", "items", "item_sec"), ["folder", "bits", "file"])
+    # narrow rows, found before the documents are shuffled
+    found = materialize(match.recurring_segments(docs, TEXT_PARAMS), "found").join(docs.select("folder", "bits", "file", "items", "item_sec"), ["folder", "bits", "file"])
     cut = bits.slice_seconds(F.col("items"), F.col("item_sec"), F.col("start_sec"), F.col("end_sec"))
     # a segment's number: its document's, and where in it
     name = F.col("file") * 1_000_000 + F.col("start")
@@ -180,9 +181,8 @@ def leader_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def leader_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = _segments(spark, sf_dir)[1]
-    edges = reconcile.leader_edges(segs, segs, TEXT_PARAMS, self_match=True).select("folder", F.col("a").alias("segment"), F.col("b").alias("earlier"))
-    none = edges.select("folder", "segment", F.col("earlier").alias("pattern")).limit(0)
-    return reconcile.assign_leaders(segs.select("folder", F.col("file").alias("segment"), "idx"), none, edges)
+    none = segs.select("folder", F.col("file").alias("segment"), F.col("file").alias("pattern")).limit(0)
+    return reconcile.led(segs, none, TEXT_PARAMS)
 
 
 @query
