@@ -160,12 +160,19 @@ def recurring_segments(streams: DataFrame, params: DetectParams, scope: Sequence
     )
 
 
-def alignments(patterns: DataFrame, streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE, extra: Sequence[str] = (), where: Callable | None = None) -> DataFrame:
-    """(scope, a, b, off, turn, n, na, ratio, start, end): patterns (a) at each candidate alignment with streams (b) that ``where`` lets meet."""
+def alignments(patterns: DataFrame, streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE, extra: Sequence[str] = (), where: Callable | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(scope, a, b, off, turn, n, na, ratio, start, end): patterns (a) at each candidate alignment with streams (b) that ``where`` lets meet.
+
+    With ``pairs`` (a, b) only those are looked at.
+    """
     voted = meet(patterns, streams, params, scope, extra)
     if where is not None:
         voted = voted.filter(where(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).drop(*(f"{s}_{c}" for s in "ab" for c in extra))
-    covers = coverage_at(candidate_offsets(voted, params, scope), patterns, streams, params, scope)
+    if pairs is not None:
+        voted = voted.join(pairs, ["a", "b"], "left_semi")
+    # the blocks' shuffles are gone before the streams are shuffled once more
+    cands = materialize(candidate_offsets(voted, params, scope), "candidates")
+    covers = coverage_at(cands, patterns, streams, params, scope)
     p = F.col("positions")
     hit = covers.withColumn("n", F.size(p)).filter("n > 0")
     return hit.select(

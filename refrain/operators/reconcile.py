@@ -182,20 +182,25 @@ def normalize_lengths(catalog: Catalog, ids: DataFrame, params: DetectParams, no
     """
     chosen = catalog.patterns.filter(~F.col("pinned")).join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("pattern_id"))
     prints = catalog.fingerprints.select("file_path", "folder", "bits", "item_sec", "items")
-    member = catalog.clips.join(chosen, "pattern_id").join(prints, "file_path")
+    # members are narrow; items are only joined to one clip of a pattern, and stored once of the files that have members
+    member = catalog.clips.join(chosen, "pattern_id").join(prints.drop("items"), "file_path")
     by_length = Window.partitionBy("pattern_id").orderBy(F.col("end") - F.col("start"), "start", "id")
     ranked = member.withColumns({"_k": F.row_number().over(by_length) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("pattern_id"))}).filter("_n >= 2")
     ranked = materialize(ranked, "members")
-    canon = ranked.filter(F.col("_k") == F.floor(F.col("_n") / 2)).select("pattern_id", "folder", F.col("pattern_id").alias("file"), "bits", "item_sec", slice_seconds(F.col("items"), F.col("item_sec"), F.col("start"), F.col("end")).alias("items"), (F.col("end") - F.col("start")).alias("_canon"))
-    canon = canon.filter(F.size("items") > 0)
-    found = match.locate(match.alignments(canon, ranked.select("folder", "bits", F.col("file_path").alias("file"), "items").distinct(), params), params)
+    held = materialize(prints.join(ranked.select("file_path").distinct(), "file_path", "left_semi"), "members-files")
+    cut = lambda df, start, end: df.join(held.select("file_path", "items"), "file_path").withColumn("items", slice_seconds(F.col("items"), F.col("item_sec"), F.col(start), F.col(end)))
+    canon = cut(ranked.filter(F.col("_k") == F.floor(F.col("_n") / 2)), "start", "end").select("pattern_id", "folder", F.col("pattern_id").alias("file"), "bits", "item_sec", "items", (F.col("end") - F.col("start")).alias("_canon"))
+    canon = materialize(canon.filter(F.size("items") > 0), "medians")
+    # of the places in other patterns' files, as many as pairs of alike clips, none is wanted
+    own = ranked.select(F.col("pattern_id").alias("a"), F.col("file_path").alias("b"))
+    found = match.locate(match.alignments(canon, held.select("folder", "bits", F.col("file_path").alias("file"), "items"), params, pairs=own), params)
     hits = ranked.join(found.select(F.col("a").alias("pattern_id"), F.col("b").alias("file_path"), F.col("start").alias("_i"), F.col("end").alias("_j")), ["pattern_id", "file_path"]).join(canon.select("pattern_id", "_canon"), "pattern_id")
     hits = hits.withColumns({"_s": F.col("_i") * F.col("item_sec"), "_e": F.col("_j") * F.col("item_sec")})
     length = F.col("_e") - F.col("_s")
     hits = materialize(hits.filter((length > 0) & (F.abs(length - F.col("_canon")) <= 0.35 * F.col("_canon") + 1.0)), "relocated")
     again = Window.partitionBy("pattern_id").orderBy(length, "_k")
     medians = hits.withColumns({"_r": F.row_number().over(again) - 1, "_m": F.count(F.lit(1)).over(Window.partitionBy("pattern_id"))}).filter(F.col("_r") == F.floor(F.col("_m") / 2))
-    tight = medians.select(F.col("pattern_id").alias("id"), slice_seconds(F.col("items"), F.col("item_sec"), F.col("_s"), F.col("_e")).alias("items"), length.alias("duration")).filter(F.size("items") > 0)
+    tight = cut(medians, "_s", "_e").select(F.col("pattern_id").alias("id"), "items", length.alias("duration")).filter(F.size("items") > 0)
     snapped = cat.set_bounds(catalog, hits.select("id", F.col("_s").alias("start"), F.col("_e").alias("end")), detected=True)
     return cat.set_fingerprint(snapped, tight, now)
 
