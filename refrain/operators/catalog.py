@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from refrain.functions.bits import slice_seconds
 from refrain.functions.media import file_name
-from refrain.sources.shared import materialize
+from refrain.sources.shared import is_stored, materialize
 
 #: The review states, and how close two starts of one occurrence are.
 STATUSES = ("pending", "confirmed", "dismissed")
@@ -50,8 +50,9 @@ class Catalog:
             (w.partitionBy("folder") if name == "fingerprints" else w).parquet(f"{path}/{name}")
 
     def settled(self) -> Catalog:
-        """The same without lineage, written to the shared folder."""
-        return Catalog(**{name: materialize(getattr(self, name), name) for name in SCHEMAS})
+        """The same without lineage, written to the shared folder; a table that is stored there already isn't written again."""
+        tables = {name: getattr(self, name) for name in SCHEMAS}
+        return Catalog(**{name: df if is_stored(df) else materialize(df, name) for name, df in tables.items()})
 
 
 def migrated(df: DataFrame, name: str) -> DataFrame:

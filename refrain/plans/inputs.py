@@ -23,7 +23,10 @@ def _streams(df: DataFrame, folder: str | None, file: str) -> DataFrame:
     found = texts.select(*scope, "file", F.col("file").alias("idx"), F.lit(32).alias("bits"), F.lit(1.0).alias("item_sec"), shingle_items(F.coalesce("text", F.lit(""))).alias("items"))
     # a stored stream, like any fingerprint: hashed once, read as often as the matcher needs it
     # and filtered afterwards: before, the optimizer would hash once more to filter, and that in the scan's few tasks
-    return materialize(found, "streams").filter(F.size("items") > 0)
+    stored = materialize(found, "streams")
+    kept = stored.filter(F.size("items") > 0)
+    kept._refrain_path = stored._refrain_path  # for ``discard``
+    return kept
 
 
 def document_streams(spark: SparkSession, sf_dir: str) -> DataFrame:

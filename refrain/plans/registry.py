@@ -15,7 +15,7 @@ from refrain.plans.inputs import TEXT_PARAMS, benchmark_patterns, document_strea
 from refrain.plans.oracles import ORACLES
 from refrain.plans.params import DetectParams
 from refrain.sources.library import folders
-from refrain.sources.shared import materialize
+from refrain.sources.shared import discard, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -300,7 +300,9 @@ def _scanned(spark: SparkSession, sf_dir: str) -> tuple[catalog.Catalog, DetectP
     prints = docs.select(F.col("file").cast("string").alias("file_path"), "folder", "bits", "item_sec", "items")
     found = catalog.store_fingerprints(catalog.Catalog.empty(spark), prints, 0.0)
     batch = segs.select("folder", "bits", F.col("doc").cast("string").alias("file"), "start_sec", "end_sec", F.col("doc").alias("idx"))
-    return reconcile.store_segments(found, batch, TEXT_PARAMS, "lib", 0.0).settled(), TEXT_PARAMS
+    found = reconcile.store_segments(found, batch, TEXT_PARAMS, "lib", 0.0).settled()
+    discard(docs)  # the catalogue has its own copy
+    return found, TEXT_PARAMS
 
 
 @query

@@ -49,6 +49,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` is a table as ``materialize`` returned it."""
+    return hasattr(df, "_refrain_path")
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table as read; where its scan has fewer tasks than there are cores, its rows are dealt to twice as many.
 
