@@ -318,7 +318,7 @@ def meet(a: DataFrame, b: DataFrame | None, params: DetectParams, scope: Sequenc
 
     Without ``b`` the streams ``a`` meet each other, a being that with the smaller ``idx``. Then the result may be
     "runs", the verified runs (scope, a, b, off, start, end) of the best alignments, or "shows": with how many others
-    each stream shares its positions, as steps (scope, file, at, step) that add up to the counts over all its rows.
+    each stream shares its positions, as steps (scope, file, at, step) that add up to the counts over all its rows. Steps are stored.
     """
     ordered = b is None
     indexed = a if ordered else b
@@ -376,7 +376,7 @@ def meet(a: DataFrame, b: DataFrame | None, params: DetectParams, scope: Sequenc
         fields += [StructField(c, LongType() if c == "votes" else IntegerType()) for c in (("off", "start", "end") if result == "runs" else ("off", "votes", "lo", "hi"))]
     schema = StructType(fields)
     met = _met(params, scope, extra, ordered, result, to_arrow_schema(schema))
-    if rounds == 1:
+    if result != "shows":
         return dealt(F.lit(True)).mapInArrow(met, schema)
     # what a round shuffles is gone when its results are stored
     return reduce(DataFrame.union, [materialize(dealt(F.col("_round") == k).mapInArrow(met, schema), "round") for k in range(rounds)])

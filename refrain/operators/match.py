@@ -136,23 +136,24 @@ def recurrence_counts(found: DataFrame, scope: Sequence[str] = SCOPE) -> DataFra
     return merged.select(*scope, "file", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")).groupBy(*scope, "file", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
-def shows(streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """(scope, file, pos, n): ``recurrence_counts`` of the streams' ``pair_runs``, whose number grows with the square of a group of streams.
+def shows(streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE, extra: Sequence[str] = ()) -> DataFrame:
+    """(scope, file, extra, pos, n): ``recurrence_counts`` of the streams' ``pair_runs``, whose number grows with the square of a group of streams.
 
     They are counted where they are found; only each stream's steps in its counts are shuffled.
+    Steps and sizes are stored: what is returned doesn't read the streams again.
     """
     place = [*scope, "file"]
     steps = meet(streams, None, params, scope, result="shows").repartition(*place)
     steps = steps.select(*place, F.explode(F.arrays_zip("at", "step")).alias("_s")).groupBy(*place, F.col("_s.at").alias("pos")).agg(F.sum("_s.step").alias("step"))
     w = Window.partitionBy(*place).orderBy("pos")
-    counts = steps.withColumns({"n": F.sum("step").over(w), "_next": F.lead("pos").over(w)}).join(streams.select(*place, F.size("items").alias("_size")), place)
-    return counts.filter("n > 0").select(*place, F.explode(F.sequence("pos", F.coalesce("_next", "_size") - 1)).alias("pos"), "n")
+    sizes = materialize(streams.select(*place, *extra, F.size("items").alias("_size")), "sizes")
+    counts = steps.withColumns({"n": F.sum("step").over(w), "_next": F.lead("pos").over(w)}).join(sizes, place)
+    return counts.filter("n > 0").select(*place, *extra, F.explode(F.sequence("pos", F.coalesce("_next", "_size") - 1)).alias("pos"), "n")
 
 
 def recurring_segments(streams: DataFrame, params: DetectParams, scope: Sequence[str] = SCOPE) -> DataFrame:
     """(scope, file, start, end, start_sec, end_sec, n): stretches present in at least ``min_shows`` streams."""
-    counts = shows(streams, params, scope).filter(F.col("n") >= params.min_shows - 1).drop("n")
-    timed = counts.join(streams.select(*scope, "file", "item_sec"), [*scope, "file"])
+    timed = shows(streams, params, scope, ("item_sec",)).filter(F.col("n") >= params.min_shows - 1).drop("n")
     sec = F.col("item_sec")
     by = [*scope, "file", "item_sec"]
     return runs(timed, by, params.min_items(sec), params.max_gap_items(sec), params.min_density).select(

@@ -107,7 +107,10 @@ def pair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def recurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.shows(document_streams(spark, sf_dir), TEXT_PARAMS).drop("bits")
+    docs = document_streams(spark, sf_dir)
+    counts = match.shows(docs, TEXT_PARAMS).drop("bits")
+    discard(docs)  # steps and sizes are stored
+    return counts
 
 
 @query
