@@ -19,6 +19,8 @@ from refrain.sources.shared import discard, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Segments of a class of lengths that are paired in one place.
+PAIRED = 1 << 12
 #: Patterns and documents meet by width alone.
 WIDTH = ("bits",)
 
@@ -165,13 +167,22 @@ def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def length_compatible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = _segments(spark, sf_dir)[1].select("folder", "doc", "start", "idx", "duration")
+    # of segments only the lengths are needed: no items are cut out or shuffled, and the streams go before the pairs are written
+    docs = document_streams(spark, sf_dir)
+    found = materialize(match.recurring_segments(docs, TEXT_PARAMS), "found")
+    discard(docs)
+    segs = found.select("folder", F.col("file").alias("doc"), "start", (F.col("file") * 1_000_000 + F.col("start")).alias("idx"), (F.col("end_sec") - F.col("start_sec")).alias("duration"))
     a, b = (segs.withColumnsRenamed({c: f"{c}_{x}" for c in ("doc", "start", "idx", "duration")}) for x in "ab")
     # compatible lengths differ by a quarter of the shorter at most: by one class of lengths
     size = lambda c: F.floor(F.log(c) / F.log(F.lit(1 / (1 - reconcile.LENGTH_TOL)))).cast("int")
     a = a.withColumn("_class", size("duration_a"))
     b = b.withColumn("_class", F.explode(F.array(*(size("duration_b") + k for k in (-1, 0, 1)))))
-    pairs = a.join(b, ["folder", "_class"]).filter((F.col("idx_a") < F.col("idx_b")) & reconcile.length_compatible(F.col("duration_b"), F.col("duration_a")))
+    # most segments are short: a class's a's are dealt to several places, and each has a copy of the b's
+    place = ["folder", "_class"]
+    parts = materialize(a.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / PAIRED).cast("int").alias("_parts")), "classes")
+    a = a.join(parts, place).withColumn("_part", F.pmod(F.xxhash64("idx_a"), F.col("_parts")).cast("int")).drop("_parts")
+    b = b.join(parts, place).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    pairs = a.join(b, [*place, "_part"]).filter((F.col("idx_a") < F.col("idx_b")) & reconcile.length_compatible(F.col("duration_b"), F.col("duration_a")))
     return pairs.select("folder", F.col("doc_a").alias("file_a"), "start_a", F.col("doc_b").alias("file_b"), "start_b")
 
 
